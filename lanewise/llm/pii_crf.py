@@ -1,0 +1,321 @@
+"""Personal data by fixed patterns and a linear-chain conditional random field (operator 6).
+
+The patterns find e-mail addresses, IP addresses, card and phone numbers; their spans always stay. A
+conditional random field over word shapes adds spans that the patterns leave, such as phone numbers
+without a country sign. It is trained here from a small labelled table (``labelled_table``), and
+decoded by Viterbi over numpy batches of lines. A span of any kind has a digit or an at-sign, so lines
+without one can't hold any and are passed over; all others are decoded from end to end.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import re
+from collections.abc import Iterator
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+KINDS = ("email", "ip", "card", "phone")
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+# possessive forms: a match can only begin where a run of digits does, and giving back part of a run never helps
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
+_PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+_MARK = re.compile(r"[0-9@]")
+_TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[^\s]")
+
+
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """Each at-sign with the run of local characters before it and a domain after it; the leftmost match begins with the run."""
+    free, at = 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > free and text[start - 1] in _LOCAL:
+            start -= 1
+        domain = _DOMAIN.match(text, at + 1) if start < at else None
+        if domain:
+            yield start, domain.end()
+            free = domain.end()
+        else:
+            free = at + 1
+        at = text.find("@", free)
+
+
+def _luhn(digits: str) -> bool:
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        d = ord(c) - 48
+        total += d if i % 2 == 0 else d * 2 - 9 * (d > 4)
+    return total % 10 == 0
+
+
+def base_spans(text: str) -> list[tuple[str, int, int]]:
+    """The patterns' spans (kind, start, end in code points), by kind and start."""
+    out = [("email", a, b) for a, b in _emails(text)]
+    if not _MARK.search(text):
+        return out
+    out += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))]
+    for m in _CARD.finditer(text):
+        digits = m[0].replace(" ", "").replace("-", "")
+        if 13 <= len(digits) <= 19 and _luhn(digits):
+            out.append(("card", *m.span()))
+    if "+" in text:
+        out += [("phone", *m.span()) for m in _PHONE.finditer(text) if 9 <= sum("0" <= c <= "9" for c in m[0]) <= 15]
+    return out
+
+
+#: The small labelled table: patterns of personal data, and of look-alikes that are none. 9 stands for a digit, a for a word.
+_LABELLED = {
+    "phone": ["+9 (999) 999-9999", "(999) 999-9999", "999-999-9999", "+99 99 9999 9999", "+9 999 999 9999", "999.999.9999", "(999)999-9999"],
+    "email": ["a.99@a9.a.a", "a@a.a", "a.a@a.a", "a99@a.a", "a_a@a.a", "a-a.9@a.a.a"],
+    "ip": ["99.999.9.99", "999.999.99.9", "9.99.999.999"],
+    "card": ["9999 9999 9999 9999", "9999-9999-9999-9999", "9999 999999 99999"],
+    "": ["9999999999999999", "9.9", "version 9.9.", "9999", "99", "a9a99a9a999a", "9/99/9999", "9999-99-99", "99%", "999,999", "99:99", "a 9.9 a", "$9.99", "#999", "\"9a99a9a9a9a\"", "999 a 999", "(9)", "(999)", "99-99", "9-9", "@a", "a @ 9", "999999999", "9.", "99."],
+}
+_WORDS = ("the", "and", "Onder", "of", "einer", "la", "Est", "with", "de", "ing", "was", "Our", "por", "to")
+LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
+
+
+def labelled_table(copies: int = 6) -> list[tuple[list[tuple[int, int]], list[int], str]]:
+    """(token spans, labels, line) of lines made by rule from _LABELLED: each pattern between words, at either end, alone, and followed by signs."""
+    out = []
+    turn = 0
+
+    def filled(pattern: str) -> str:
+        nonlocal turn
+        text = ""
+        for c in pattern:
+            turn += 1
+            text += str((turn * 7 + turn // 9) % 10) if c == "9" else _WORDS[turn % len(_WORDS)].lower() if c == "a" else c
+        return text
+
+    for kind, patterns in _LABELLED.items():
+        for pattern in patterns:
+            for n in range(copies):
+                turn += 1
+                words = [_WORDS[(turn * 5 + i * 3) % len(_WORDS)] for i in range(6)]
+                left, right = " ".join(words[: n % 4]), " ".join(words[3 : 3 + (n + 1) % 4])
+                body = filled(pattern)
+                start = len(left) + bool(left)
+                line = f"{left} {body}".strip() + ("", "!!", "%%%", ".", ",", " ")[n % 6] + (f" {right}" if right else "")
+                spans = [m.span() for m in _TOKEN.finditer(line)]
+                labels, begun = [], False
+                for a, b in spans:
+                    inside = kind and a >= start and b <= start + len(body)
+                    labels.append(LABELS.index(f"{'I' if begun else 'B'}-{kind}") if inside else 0)
+                    begun = begun or bool(inside)
+                out.append((spans, labels, line))
+    return out
+
+
+SHAPES = 64
+_SIGNS = {c: 24 + i for i, c in enumerate("@.-+()_%/:,#$\"'&!*=")}
+
+
+def shape(token: str) -> int:
+    """The word shape: digits by their number, words by case and length, frequent signs by themselves."""
+    first = token[0]
+    if "0" <= first <= "9":
+        return min(len(token), 10)
+    if first.isalpha():
+        return (11 if token.islower() else 14 if token[1:].islower() else 17 if len(token) == 1 else 20) + (0 if len(token) < 3 else 1 if len(token) < 9 else 2)
+    return _SIGNS.get(first, 23)
+
+
+def features(line: str, spans: list[tuple[int, int]]) -> list[int]:
+    """For each token its shape, and whether it follows the one before directly."""
+    return [shape(line[a:b]) * 2 + (i > 0 and spans[i - 1][1] == a) for i, (a, b) in enumerate(spans)]
+
+
+_WINDOW = 3  # features of the tokens from 3 before to 3 after
+
+
+def _padded(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(line, place + _WINDOW) feature table with 0 where there is none, and lengths; feature f is held as f + 1."""
+    length = np.fromiter(map(len, rows), np.int64, len(rows))
+    out = np.zeros((len(rows), int(length.max(initial=0)) + 2 * _WINDOW), np.int64)
+    for i, r in enumerate(rows):
+        out[i, _WINDOW : _WINDOW + len(r)] = np.array(r) + 1
+    return out, length
+
+
+def _emissions(table: np.ndarray, weights: np.ndarray, t: int) -> np.ndarray:
+    total = np.zeros((len(table), len(LABELS)))
+    for k in range(2 * _WINDOW + 1):
+        total += weights[k, table[:, t + k]]
+    return total
+
+
+def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
+    top = x.max(axis=axis, keepdims=True)
+    return (np.log(np.exp(x - top).sum(axis=axis, keepdims=True)) + top).squeeze(axis)
+
+
+@lru_cache(maxsize=1)
+def trained() -> tuple[np.ndarray, np.ndarray]:
+    """Emission weights (window place, feature, label) and transition weights, by gradient ascent on the penalised log-likelihood."""
+    table = labelled_table()
+    feats, length = _padded([features(line, spans) for spans, _, line in table])
+    n, steps, k = len(table), int(length.max()), len(LABELS)
+    gold = np.zeros((n, steps), np.int64)
+    for i, (_, labels, _) in enumerate(table):
+        gold[i, : len(labels)] = labels
+    live = np.arange(steps)[None, :] < length[:, None]
+    weights, moves = np.zeros((2 * _WINDOW + 1, 2 * SHAPES + 1, k)), np.zeros((k, k))
+    square_w, square_m = np.full(weights.shape, 1e-6), np.full(moves.shape, 1e-6)
+    for _ in range(80):
+        emit = np.stack([_emissions(feats, weights, t) for t in range(steps)], axis=1)
+        alpha = np.zeros((n, steps, k))
+        alpha[:, 0] = emit[:, 0]
+        for t in range(1, steps):
+            then = _logsum(alpha[:, t - 1, :, None] + moves, 1) + emit[:, t]
+            alpha[:, t] = np.where(live[:, t, None], then, alpha[:, t - 1])
+        norm = _logsum(alpha[:, -1], 1)
+        beta = np.zeros((n, steps, k))
+        grad_w, grad_m = -0.02 * weights, -0.02 * moves
+        for t in range(steps - 1, -1, -1):
+            if t + 1 < steps:
+                step = moves + (emit[:, t + 1] + beta[:, t + 1])[:, None, :]
+                beta[:, t] = np.where(live[:, t + 1, None], _logsum(step, 2), 0)
+                both = np.exp(alpha[:, t, :, None] + step - norm[:, None, None]) * live[:, t + 1, None, None]
+                grad_m = grad_m - both.sum(axis=0)
+                some = live[:, t + 1]
+                np.add.at(grad_m, (gold[some, t], gold[some, t + 1]), 1)
+            delta = -np.exp(alpha[:, t] + beta[:, t] - norm[:, None])
+            delta[np.arange(n), gold[:, t]] += 1
+            delta *= live[:, t, None]
+            for p in range(2 * _WINDOW + 1):
+                np.add.at(grad_w[p], feats[:, t + p], delta)
+        grad_w[:, 0] = 0
+        square_w += grad_w**2
+        square_m += grad_m**2
+        weights = weights + 0.5 * grad_w / np.sqrt(square_w)
+        moves = moves + 0.5 * grad_m / np.sqrt(square_m)
+    return weights, moves
+
+
+def viterbi(rows: list[list[int]], weights: np.ndarray, moves: np.ndarray) -> list[np.ndarray]:
+    """The best labels of each line. I-x follows only B-x and I-x."""
+    allowed = np.array([[b[0] != "I" or (a[0] != "O" and a[2:] == b[2:]) for b in LABELS] for a in LABELS])
+    moves = np.where(allowed, moves, -1e9)
+    first = np.array([0.0 if b[0] != "I" else -1e9 for b in LABELS])
+    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(rows)
+    order = sorted(range(len(rows)), key=lambda i: len(rows[i]))
+    for begin in range(0, len(order), 256):
+        part = order[begin : begin + 256]
+        feats, length = _padded([rows[i] for i in part])
+        steps = int(length.max(initial=0))
+        if not steps:
+            continue
+        score = _emissions(feats, weights, 0) + first
+        back = np.zeros((steps, len(part), len(LABELS)), np.int8)
+        for t in range(1, steps):
+            total = score[:, :, None] + moves
+            back[t] = total.argmax(axis=1)
+            then = total.max(axis=1) + _emissions(feats, weights, t)
+            score = np.where((t < length)[:, None], then, score)
+        label = score.argmax(axis=1)
+        path = np.zeros((len(part), steps), np.int64)
+        for t in range(steps - 1, -1, -1):
+            on = t < length
+            path[:, t] = label
+            if t:
+                label = np.where(on, back[t][np.arange(len(part)), label], label)
+        for i, x in enumerate(part):
+            out[x] = path[i, : len(rows[x])]
+    return out
+
+
+#: Tokens of one sequence; a longer line is decoded in parts that overlap by OVERLAP tokens on either side.
+PART, OVERLAP = 2000, 40
+
+
+def added_spans(texts: list[str], weights: np.ndarray, moves: np.ndarray) -> list[list[tuple[str, int, int]]]:
+    """The field's spans of each text, those included that the patterns find as well."""
+    out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
+    rows, where = [], []
+    for n, text in enumerate(texts):
+        end = -1
+        for m in _MARK.finditer(text):
+            if m.start() < end:
+                continue
+            start, end = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.start())
+            end = len(text) if end < 0 else end
+            line = text[start:end]
+            spans = [t.span() for t in _TOKEN.finditer(line)]
+            feats = features(line, spans)
+            for a in range(0, len(spans), PART):
+                low, high = max(0, a - OVERLAP), min(len(spans), a + PART + OVERLAP)
+                rows.append(feats[low:high])
+                where.append((n, start, spans, low, a, min(a + PART, len(spans))))
+    for (n, start, spans, low, a, b), labels in zip(where, viterbi(rows, weights, moves), strict=True):
+        i = a - low
+        while i < b - low:
+            label = LABELS[labels[i]]
+            j = i + 1
+            if label[0] == "B":
+                while j < len(labels) and LABELS[labels[j]] == f"I-{label[2:]}":
+                    j += 1
+                span = (start + spans[low + i][0], start + spans[low + j - 1][1])
+                if _MARK.search(texts[n], *span):
+                    out[n].append((label[2:], *span))
+            i = j
+    return out
+
+
+def _shown(spans: list[tuple[str, int, int]]) -> str:
+    return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1], s[2])))
+
+
+def _merged(base: list[tuple[str, int, int]], more: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """base, and those of more that overlap none of base."""
+    return base + [m for m in more if all(m[2] <= a or m[1] >= b for _, a, b in base)]
+
+
+def find_personal_data(docs: DataFrame) -> DataFrame:
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans for each row of docs (doc_id, text).
+
+    The counts and the digest are of the patterns' spans; spans also holds those that the field adds
+    without overlapping one of them. Null and empty texts have none: counts of 0, the digest of the
+    empty string and empty spans. Repeated rows give equal rows.
+    """
+    weights, moves = trained()
+    names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
+    schema = "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string"
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            base = [base_spans(t) for t in texts]
+            more = added_spans(texts, weights, moves)
+            counts = [pa.array([sum(k == kind for k, _, _ in b) for b in base], pa.int64()) for kind in KINDS]
+            digests = [hashlib.sha256(_shown(b).encode()).hexdigest() for b in base]
+            spans = [_shown(_merged(b, m)) for b, m in zip(base, more, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array(digests, pa.string()), pa.array(spans, pa.string())], names=names)
+
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(each, schema)
+
+
+def redacted(text: Column, spans: Column) -> Column:
+    """The text with each span replaced by its kind in brackets, from the spans column of find_personal_data; overlapping added spans are replaced by the first."""
+
+    @F.arrow_udf("string")
+    def replace(texts: pa.Array, found: pa.Array) -> pa.Array:
+        out = []
+        for t, s in zip(texts.to_pylist(), found.to_pylist(), strict=True):
+            if t is not None and s:
+                parts, at = [], 0
+                for kind, a, b in sorted(((k, int(a), int(b)) for k, a, b in (x.split(":") for x in s.split(","))), key=lambda x: x[1:]):
+                    if a >= at:
+                        parts += [t[at:a], f"[{kind}]"]
+                        at = b
+                t = "".join(parts) + t[at:]
+            out.append(t)
+        return pa.array(out, pa.string())
+
+    return replace(text, spans)

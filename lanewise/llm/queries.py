@@ -17,18 +17,38 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_subspace_pigeonhole(spark: SparkSession, folder: str) -> DataFrame:
+    from .embedding_join import near_vectors
+
+    return near_vectors(_table(spark, folder, "embeddings"))
+
+
 def op2_token_files(spark: SparkSession, folder: str) -> DataFrame:
     from .token_files import token_files
 
     return token_files(spark, _table(spark, folder, "documents"), tokenizer_path())
 
 
+def op3_containment_search(spark: SparkSession, folder: str) -> DataFrame:
+    from .decontaminate import contaminated
+
+    return contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
     from .language_id import identify
 
     return identify(_table(spark, folder, "documents"))
 
 
+def op7_bagminhash(spark: SparkSession, folder: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .bagminhash import near_duplicates
+
+    return near_duplicates(_table(spark, folder, "documents")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
+
+
 def op10_forced_boundary_bpe(spark: SparkSession, folder: str) -> DataFrame:
     from .forced_bpe import round_trip
 
