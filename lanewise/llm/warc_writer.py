@@ -77,7 +77,7 @@ class WarcFiles:
             self.fs, self.path = open_fs(self.uri)
             self.fs.create_dir(os.path.dirname(self.path), recursive=True)
             self.temp = f"{self.path}.{uuid.uuid4().hex}.tmp"
-            self.out, self.size, self.rows = self.fs.open_output_stream(self.temp), 0, 0
+            self.out, self.size, self.rows = self.fs.open_output_stream(self.temp, compression=None), 0, 0
         press = zlib.compressobj(6, zlib.DEFLATED, 31)
         packed = press.compress(data) + press.flush()
         self.out.write(packed)
@@ -96,7 +96,7 @@ class WarcFiles:
 def read_records(uri: str) -> Iterator[tuple[dict[str, str], bytes]]:
     """Header fields and block of each record; holds one record at a time."""
     fs, path = open_fs(uri)
-    with fs.open_input_stream(path) as f:
+    with fs.open_input_stream(path, compression=None) as f:
         left, press, parts = b"", zlib.decompressobj(31), []
         while True:
             data = left or f.read(1 << 20)
