@@ -1,0 +1 @@
+"""All queries of the engine and their oracles."""
