@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .dates import card_date, date_order
+from .text import bind
 
 HEADER = "^@[\\n\\r\\x1e]{0,4}(?:ANSI |AAMVA)([0-9]{6})([0-9]{2})"
 #: The first line of a text without a usable directory begins with a subfile type.
@@ -17,11 +18,6 @@ FIRST = "(?:DL|ID|ZO|ZV|ZJ|ZA|ZB|ZC)([A-Z]{3}.*)$"
 _PAIRS = "array<struct<key: string, value: string>>"
 
 
-def bind(value: Column, use) -> Column:
-    """use(value) with value computed once: Spark has no let, but a lambda's variable is one."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 def _pairs(lines: Column) -> Column:
     found = F.filter(lines, lambda x: x.rlike("^[A-Z]{3}"))
     return F.transform(found, lambda x: F.struct(F.substring(x, 1, 3).alias("key"), F.trim(F.substr(x, F.lit(4))).alias("value")))
@@ -43,37 +39,39 @@ def _found(text: Column, kind: Column, begin: Column) -> Column:
     return F.when(place > 0, begin + place - 1).otherwise(-1)
 
 
-def _directory(text: Column, version: Column, end: Column) -> Column:
-    """The pairs of all subfiles that the directory lists; null if the directory or a subfile is malformed."""
-    at = end + F.when(version >= 2, 2).otherwise(0)
-    count = F.when(F.substr(text, at + 1, F.lit(2)).rlike("^[0-9]{2}$"), F.substr(text, at + 1, F.lit(2)).cast("int"))
+def _directory(text: Column, head: Column) -> Column:
+    """The pairs of all subfiles that the directory lists; null if the directory or a subfile is malformed.
 
-    def entries(n: Column) -> Column:
-        places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(places, lambda i: F.substr(text, at + 3 + i * 10, F.lit(10)))
+    head is struct<at, count, done>: the place of the two digits that count the entries, their number
+    (null if they are no digits) and the place after the last entry.
+    """
+    at, count, done = head["at"], head["count"], head["done"]
+    places = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+    entries = F.transform(places, lambda i: F.substr(text, at + 3 + i * 10, F.lit(10)))
 
     def step(state: Column, entry: Column) -> Column:
         kind, offset, length = F.substring(entry, 1, 2), F.substring(entry, 3, 4).cast("int"), F.substring(entry, 7, 4).cast("int")
-        done = at + 2 + 10 * F.coalesce(count, F.lit(0))
         straight = (offset >= done) & (F.substr(text, offset + 1, F.lit(2)) == kind)
         begin = F.when(straight, offset).otherwise(_found(text, kind, state["cursor"]))
 
-        def read(start: Column) -> Column:
-            body = F.when(start >= 0, F.substr(text, start + 1, length)).otherwise("")
-            ok = state["ok"] & (F.length(body) >= 3)
-            inner = F.when(body.startswith(kind), F.substr(body, F.lit(3))).otherwise(body)
-            pairs = F.when(ok, F.concat(state["pairs"], _pairs(_lines(inner)))).otherwise(state["pairs"])
-            return F.struct(ok.alias("ok"), F.when(ok, start + F.length(body)).otherwise(state["cursor"]).alias("cursor"), pairs.alias("pairs"))
+        def read(x: Column) -> Column:
+            ok = state["ok"] & (F.length(x["body"]) >= 3)
+            inner = F.when(x["body"].startswith(kind), F.substr(x["body"], F.lit(3))).otherwise(x["body"])
+            return F.when(
+                ok,
+                F.struct(F.lit(True).alias("ok"), (x["start"] + F.length(x["body"])).alias("cursor"), F.concat(state["pairs"], _pairs(_lines(inner))).alias("pairs")),
+            ).otherwise(F.struct(F.lit(False).alias("ok"), state["cursor"].alias("cursor"), state["pairs"].alias("pairs")))
 
-        return bind(begin, read)
+        found = bind(begin, lambda start: F.struct(start.alias("start"), F.when(start >= 0, F.substr(text, start + 1, length)).otherwise("").alias("body")))
+        return bind(found, read)
 
     def walk(list_: Column) -> Column:
         sound = count.isNotNull() & F.forall(list_, lambda e: e.rlike("^.{2}[0-9]{8}$"))
-        empty = F.struct(F.lit(True).alias("ok"), (at + 2 + 10 * F.coalesce(count, F.lit(0))).alias("cursor"), F.array().cast(_PAIRS).alias("pairs"))
-        safe = F.when(sound, list_).otherwise(F.array().cast("array<string>"))
-        return F.aggregate(safe, empty, step, lambda s: F.when(sound & s["ok"] & (F.size(s["pairs"]) > 0), s["pairs"]))
+        empty = F.struct(F.lit(True).alias("ok"), done.alias("cursor"), F.array().cast(_PAIRS).alias("pairs"))
+        whole = F.aggregate(list_, empty, step, lambda s: F.when(s["ok"] & (F.size(s["pairs"]) > 0), s["pairs"]))
+        return F.when(sound, whole)
 
-    return bind(entries(F.coalesce(count, F.lit(0))), walk)
+    return bind(entries, walk)
 
 
 def _scanned(text: Column, end: Column) -> Column:
@@ -83,15 +81,26 @@ def _scanned(text: Column, end: Column) -> Column:
 
 
 def parse_barcode(text: Column) -> Column:
-    """struct<iin, version, fields> of a licence barcode's text; null if it is none or has no field."""
-    end = F.length(F.regexp_extract(text, HEADER, 0))
-    version = F.regexp_extract(text, HEADER, 2)
-    pairs = F.coalesce(_directory(text, version.cast("int"), end), _scanned(text, end))
+    """struct<iin, version, fields> of a licence barcode's text; null if it is none or has no field.
+
+    Each part is bound to a lambda's variable, so that the expressions built on it compute it once.
+    """
+    begun = F.struct(F.length(F.regexp_extract(text, HEADER, 0)).alias("end"), F.regexp_extract(text, HEADER, 1).alias("iin"), F.regexp_extract(text, HEADER, 2).alias("version"))
+
+    def counted(h: Column) -> Column:
+        at = h["end"] + F.when(h["version"].cast("int") >= 2, 2).otherwise(0)
+        digits = F.substr(text, at + 1, F.lit(2))
+        return F.struct(at.alias("at"), F.when(digits.rlike("^[0-9]{2}$"), digits.cast("int")).alias("count"))
+
+    def placed(c: Column) -> Column:
+        return F.struct(c["at"].alias("at"), c["count"].alias("count"), (c["at"] + 2 + 10 * F.coalesce(c["count"], F.lit(0))).alias("done"))
 
-    def record(p: Column) -> Column:
-        return F.when(F.size(p) > 0, F.struct(F.regexp_extract(text, HEADER, 1).alias("iin"), version.alias("version"), last_of_each(p).alias("fields")))
+    def record(h: Column) -> Column:
+        listed = bind(bind(counted(h), placed), lambda d: _directory(text, d))
+        pairs = F.coalesce(listed, _scanned(text, h["end"]))
+        return bind(pairs, lambda p: F.when(F.size(p) > 0, F.struct(h["iin"].alias("iin"), h["version"].alias("version"), last_of_each(p).alias("fields"))))
 
-    return F.when(text.rlike(HEADER), bind(pairs, record))
+    return F.when(text.rlike(HEADER), bind(begun, record))
 
 
 def element(fields: Column, key: str) -> Column:

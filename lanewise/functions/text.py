@@ -27,6 +27,11 @@ def _fold_table() -> tuple[str, str]:
 _FOLD = _fold_table()
 
 
+def bind(value: Column, use) -> Column:
+    """use(value) with value computed once: Spark has no let, but a lambda's variable is one."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def blank(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
@@ -62,38 +67,55 @@ def _chars(c: Column) -> Column:
 
 def common_length(a: Column, b: Column) -> Column:
     """Length of the longest common subsequence, row by row of the usual table."""
-    left, right = _chars(a), _chars(b)
-    first = F.array_repeat(F.lit(0), F.size(right) + 1)
 
-    def row(above: Column, x: Column) -> Column:
-        def cell(done: Column, j: Column) -> Column:
-            here = F.when(F.get(right, j - 1) == x, F.get(above, j - 1) + 1).otherwise(F.greatest(F.get(above, j), F.get(done, j - 1)))
-            return F.concat(done, F.array(here))
+    def table(x: Column) -> Column:
+        left, right, steps = x["left"], x["right"], x["steps"]
+
+        def row(above: Column, c: Column) -> Column:
+            def cell(done: Column, j: Column) -> Column:
+                here = F.when(F.get(right, j - 1) == c, F.get(above, j - 1) + 1).otherwise(F.greatest(F.get(above, j), F.get(done, j - 1)))
+                return F.concat(done, F.array(here))
 
-        return F.aggregate(F.when(F.size(right) > 0, F.sequence(F.lit(1), F.size(right))).otherwise(F.array().cast("array<int>")), F.array(F.lit(0)), cell)
+            return F.aggregate(steps, F.array(F.lit(0)), cell)
 
-    return F.element_at(F.aggregate(left, first, row), -1)
+        return F.element_at(F.aggregate(left, F.array_repeat(F.lit(0), F.size(right) + 1), row), -1)
+
+    steps = F.when(F.length(b) > 0, F.sequence(F.lit(1), F.length(b))).otherwise(F.array().cast("array<int>"))
+    return bind(F.struct(_chars(a).alias("left"), _chars(b).alias("right"), steps.alias("steps")), table)
 
 
 def token_sort_ratio(a: Column, b: Column) -> Column:
     """100 times the indel similarity of the two texts with their words sorted; only differing texts run the table."""
     a, b = (F.array_join(F.array_sort(F.split(x, " ")), " ") for x in (a, b))
-    total = F.length(a) + F.length(b)
-    return F.when(total == 0, 0.0).when(a == b, 100.0).otherwise(F.lit(200.0).cast("double") * common_length(a, b) / total)
+
+    def ratio(x: Column) -> Column:
+        total = F.length(x["a"]) + F.length(x["b"])
+        return F.when(total == 0, 0.0).when(x["a"] == x["b"], 100.0).otherwise(F.lit(200.0).cast("double") * common_length(x["a"], x["b"]) / total)
+
+    return bind(F.struct(a.alias("a"), b.alias("b")), ratio)
 
 
 def match_names(claimed: Column, document: Column, threshold: float = NAME_PASS) -> Column:
-    """struct<passed, score>: similar enough, or all of at least two words of the shorter name in the longer."""
-    a, b = normal_name(claimed), normal_name(document)
-    score = token_sort_ratio(a, b)
-    ta, tb = F.array_distinct(F.split(a, " ")), F.array_distinct(F.split(b, " "))
-    swap = F.size(ta) > F.size(tb)
-    small, large = F.when(swap, tb).otherwise(ta), F.when(swap, ta).otherwise(tb)
-    inside = (F.size(small) >= 2) & (F.size(F.array_except(small, large)) == 0)
-    none = (F.length(a) == 0) | (F.length(b) == 0)
+    """struct<passed, score>: similar enough, or all of at least two words of the shorter name in the longer.
+
+    The normalised names and the score are bound to lambda variables, so each is computed once.
+    """
     kind = "struct<passed: boolean, score: double>"
     made = lambda p, s: F.struct(F.lit(p).alias("passed"), s.cast("double").alias("score")).cast(kind)
-    return F.when(none, made(False, F.lit(0.0))).when(score >= threshold, made(True, score)).when(inside, made(True, F.lit(100.0))).otherwise(made(False, score))
+
+    def judged(x: Column) -> Column:
+        ta, tb = F.array_distinct(F.split(x["a"], " ")), F.array_distinct(F.split(x["b"], " "))
+        swap = F.size(ta) > F.size(tb)
+        small, large = F.when(swap, tb).otherwise(ta), F.when(swap, ta).otherwise(tb)
+        inside = (F.size(small) >= 2) & (F.size(F.array_except(small, large)) == 0)
+        return F.when(x["score"] >= threshold, made(True, x["score"])).when(inside, made(True, F.lit(100.0))).otherwise(made(False, x["score"]))
+
+    def scored(x: Column) -> Column:
+        none = (F.length(x["a"]) == 0) | (F.length(x["b"]) == 0)
+        with_score = F.struct(x["a"].alias("a"), x["b"].alias("b"), token_sort_ratio(x["a"], x["b"]).alias("score"))
+        return F.when(none, made(False, F.lit(0.0))).otherwise(bind(with_score, judged))
+
+    return bind(F.struct(normal_name(claimed).alias("a"), normal_name(document).alias("b")), scored)
 
 
 def match_plates(read: Column, claimed: Column) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lanewise.plans import verification
+from lanewise.plans import evaluation, operations, verification
 
-_MODULES = [verification]
+_MODULES = [verification, evaluation, operations]
 
 
 def queries() -> dict:
