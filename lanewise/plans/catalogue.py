@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lanewise.plans import evaluation, operations, verification
+from lanewise.plans import evaluation, operations, streams, verification
 
-_MODULES = [verification, evaluation, operations]
+_MODULES = [verification, evaluation, operations, streams]
 
 
 def queries() -> dict:

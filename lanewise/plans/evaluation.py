@@ -209,7 +209,7 @@ ORACLES = {
         d AS (SELECT vec_id, name, hex, sqrt((l - pl) ** 2 + (a - pa) ** 2 + (b - pb) ** 2) AS d, i FROM c CROSS JOIN p),
         r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, i) AS place FROM d) SELECT vec_id, name, hex, round(d, 2) AS delta_e FROM r WHERE place = 1""",
     "unit_vectors": _E + " SELECT vec_id, 1.0::DOUBLE AS norm, round(v[1] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS first FROM e",
-    "class_means": _E + ", x AS (SELECT label, unnest(v) AS v, unnest(range(len(v))) AS spot FROM e) SELECT label, spot::BIGINT AS "at", round(avg(v), 6) AS mean FROM x GROUP BY 1, 2",
+    "class_means": _E + ", x AS (SELECT label, unnest(v) AS v, unnest(range(len(v))) AS spot FROM e) SELECT label, spot::BIGINT AS \"at\", round(avg(v), 6) AS mean FROM x GROUP BY 1, 2",
     "age_gap_pairs_topk": """WITH c AS (SELECT c_custkey, c_custkey // 8 AS person, c_custkey * 7 % 50 AS age FROM customer),
         p AS (SELECT a.person, a.c_custkey, b.c_custkey AS other, abs(a.age - b.age) AS gap FROM c a JOIN c b ON a.person = b.person AND a.c_custkey < b.c_custkey AND abs(a.age - b.age) >= 7),
         r AS (SELECT *, row_number() OVER (PARTITION BY person ORDER BY gap DESC, c_custkey, other) AS place FROM p) SELECT * FROM r WHERE place <= 5""",
