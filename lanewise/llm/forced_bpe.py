@@ -42,46 +42,51 @@ class _Slots(dict):
         super().__init__()
         self.new: list[str] = []
 
-    def __missing__(self, piece: str) -> int:
-        self.new.append(piece)
-        self[piece] = n = len(self)
+    def __missing__(self, key: str) -> int:
+        self.new.append(key)
+        self[key] = n = len(self)
         return n
 
 
-class Pieces:
-    """Looks up the ids of the white-space-free pieces of texts, and encodes those it hasn't met."""
+Ids = tuple[np.ndarray, np.ndarray]
 
-    def __init__(self, encode_many: Callable[[list[str]], list[list[int]]]):
-        self.encode_many = encode_many
+
+class Known:
+    """The ids of the keys met so far, in one array; learn(keys) gives the ids and their number for each of new ones."""
+
+    def __init__(self, learn: Callable[[list[str]], Ids]):
+        self.learn = learn
         self.clear()
 
     def clear(self) -> None:
         self.slots, self.pool, self.chars = _Slots(), np.zeros(0, np.uint32), 0
         self.start, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    @staticmethod
-    def split(text: str) -> list[str]:
-        # str.split() also splits at the four information separators, which are no white space to the tokenizer
-        return text.replace("\n", " ").split(" ") if _INFO.search(text) else text.split()
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and the row offsets."""
-        if len(self.slots) > CACHE_PIECES or self.chars > CACHE_CHARS:
-            self.clear()
-        rows = [self.split(t) for t in texts]
-        counts = np.fromiter(map(len, rows), np.int64, len(rows))
-        slot = np.fromiter(map(self.slots.__getitem__, chain.from_iterable(rows)), np.int64, int(counts.sum()))
+    def full(self) -> bool:
+        return len(self.slots) > CACHE_PIECES or self.chars > CACHE_CHARS
+
+    def look_up(self, keys: list[str]) -> Ids:
+        """All ids of the keys in order, and their number for each key."""
+        slot = np.fromiter(map(self.slots.__getitem__, keys), np.int64, len(keys))
         if new := self.slots.new:
-            ids = self.encode_many(new)
-            more = np.fromiter(map(len, ids), np.int64, len(ids))
+            ids, more = self.learn(new)
             self.start = np.concatenate((self.start, len(self.pool) + np.cumsum(more) - more))
             self.length = np.concatenate((self.length, more))
-            self.pool = np.concatenate((self.pool, np.fromiter(chain.from_iterable(ids), np.uint32, int(more.sum()))))
+            self.pool = np.concatenate((self.pool, ids))
             self.chars += sum(map(len, new))
             self.slots.new = []
         lengths = self.length[slot]
-        ends = np.concatenate(([0], np.cumsum(lengths)))[np.concatenate(([0], np.cumsum(counts)))]
-        return self.pool[ragged(self.start[slot], lengths)], ends
+        return self.pool[ragged(self.start[slot], lengths)], lengths
+
+
+def flat(rows: list[list[int]]) -> Ids:
+    lengths = np.fromiter(map(len, rows), np.int64, len(rows))
+    return np.fromiter(chain.from_iterable(rows), np.uint32, int(lengths.sum())), lengths
+
+
+def split(text: str) -> list[str]:
+    """The pieces between white space; str.split() also splits at the four information separators, which are none to the tokenizer."""
+    return text.replace("\n", " ").split(" ") if _INFO.search(text) else text.split()
 
 
 def text_slices(texts: pa.Array) -> Iterator[list[str]]:
@@ -117,16 +122,20 @@ class ForcedBoundary:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_cut = regex.compile("(" + "|".join(regex.escape(s) for s in self.special) + ")") if self.special else None
         parts = spec["pre_tokenizer"]["pretokenizers"]
-        self.words = regex.compile(next(p["pattern"]["Regex"] for p in parts if p["type"] == "Split"))
-        self.held = {body[i : i + 2] for token in vocab for body in [token.removesuffix(self.suffix)] for i in range(len(body) - 1)}
+        self.words = regex.compile("\n|" + next(p["pattern"]["Regex"] for p in parts if p["type"] == "Split"))
         self.to_marks = self._byte_marks()
-        self.fragments: dict[tuple[str, bool], list[int]] = {}
+        from_marks = {chr(c): b for b, c in self.to_marks.items()}
+        self.held = np.zeros((256, 256), bool)
+        for token in vocab:
+            body = [from_marks[c] for c in token.removesuffix(self.suffix)]
+            self.held[body[:-1], body[1:]] = True
+        self.line_mark = chr(self.to_marks[10])
         names = {**{v: k for k, v in vocab.items()}, **{v: k for k, v in self.special.items()}}
         shown = [(names.get(i, "") + " ").encode() for i in range(max(names) + 1)]
         self.shown_length = np.fromiter(map(len, shown), np.int64, len(shown))
         self.shown_start = np.cumsum(self.shown_length) - self.shown_length
         self.shown = np.frombuffer(b"".join(shown), np.uint8)
-        self.pieces = Pieces(self.encode_pieces)
+        self.known_pieces, self.known_words = Known(self.encode_pieces), Known(self.encode_words)
 
     @staticmethod
     def _byte_marks() -> dict[int, int]:
@@ -135,41 +144,81 @@ class ForcedBoundary:
         rest = [b for b in range(256) if b not in set(itself)]
         return {b: b for b in itself} | {b: 256 + i for i, b in enumerate(rest)}
 
-    def marked_words(self, text: str) -> list[str]:
-        """The normalised words of a text without special tokens, a character for each byte."""
-        if _LATIN.fullmatch(text):
-            return [w.encode().decode("latin-1").translate(self.to_marks) for w in self.words.findall(text.lower())]
-        text = self.whole.normalizer.normalize_str(text)
-        return [w for w, _ in self.whole.pre_tokenizer.pre_tokenize_str(text)]
-
-    def cut(self, word: str) -> list[tuple[str, bool]]:
-        """The fragments of a word between its certain cuts; only the last bears the word's end."""
-        cuts = [0, *(i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self.held), len(word)]
-        return [(word[a:b], b == len(word)) for a, b in zip(cuts, cuts[1:], strict=False)]
-
-    def encode_pieces(self, pieces: list[str]) -> list[list[int]]:
-        if len(self.fragments) > CACHE_PIECES:
-            self.fragments.clear()
-        plans: list[list] = []
-        for piece in pieces:
-            plan: list = []
-            parts = self.special_cut.split(piece) if self.special_cut and "<" in piece else [piece]
-            for part in parts:
-                if part in self.special:
-                    plan.append(self.special[part])
-                elif part:
-                    for word in self.marked_words(part):
-                        plan += self.cut(word)
-            plans.append(plan)
-        new = {x for plan in plans for x in plan if isinstance(x, tuple) and x not in self.fragments}
-        for model, ends in ((self.last, True), (self.inner, False)):
-            some = [x for x, e in new if e == ends]
-            for x, got in zip(some, model.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.fragments[x, ends] = got.ids
-        return [[i for x in plan for i in (self.fragments[x] if isinstance(x, tuple) else (x,))] for plan in plans]
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        return self.pieces.encode(texts)
+    def encode_marked(self, words: list[str], cuts: list[list[int]]) -> list[list[int]]:
+        """The ids of words (a character for each byte), each in fragments between its certain cuts; only the last fragment bears the word's end."""
+        tails = [w[c[-1] :] if c else w for w, c in zip(words, cuts, strict=True)]
+        out = [e.ids for e in self.last.encode_batch_fast(tails, add_special_tokens=False)]
+        some = [i for i, c in enumerate(cuts) if c]
+        heads = [[words[i][a:b] for a, b in zip([0, *cuts[i]], cuts[i], strict=False)] for i in some]
+        ids = iter(self.inner.encode_batch_fast([h for row in heads for h in row], add_special_tokens=False))
+        for i, row in zip(some, heads, strict=True):
+            out[i] = [x for _ in row for x in next(ids).ids] + out[i]
+        return out
+
+    def cuts(self, lines: bytes) -> list[list[int]]:
+        """The certain cuts of the words in lines: between two bytes of a word that no token holds side by side."""
+        raw = np.frombuffer(lines, np.uint8)
+        end = raw == 10
+        place = np.flatnonzero(~self.held[raw[:-1], raw[1:]] & ~end[:-1] & ~end[1:]) + 1
+        starts = np.concatenate(([0], np.flatnonzero(end) + 1))
+        word = np.searchsorted(starts, place, "right") - 1
+        out: list[list[int]] = [[] for _ in starts]
+        for w, c in zip(word.tolist(), (place - starts[word]).tolist(), strict=True):
+            out[w].append(c)
+        return out
+
+    def encode_words(self, words: list[str]) -> Ids:
+        """The ids of normalised words without a line feed; a line feed alone has none."""
+        lines = "\n".join(words).encode()
+        if "\n" not in words:
+            return flat(self.encode_marked(lines.decode("latin-1").translate(self.to_marks).split(self.line_mark), self.cuts(lines)))
+        at = words.index("\n")
+        ids, lengths = self.encode_words(words[:at] + words[at + 1 :]) if len(words) > 1 else flat([])
+        return ids, np.insert(lengths, at, 0)
+
+    def encode_latin(self, pieces: list[str]) -> Ids:
+        """The ids of pieces in Latin letters without special tokens, normalised here as the library would."""
+        words = self.words.findall("\n".join(pieces).lower())
+        ids, lengths = self.known_words.look_up(words)
+        piece = np.cumsum(np.fromiter((w == "\n" for w in words), bool, len(words)))
+        return ids, np.bincount(piece, weights=lengths, minlength=len(pieces)).astype(np.int64)
+
+    def encode_other(self, piece: str) -> list[int]:
+        """The ids of a piece that may hold special tokens or any letters; these are normalised and split by the library."""
+        out: list[int] = []
+        for part in self.special_cut.split(piece) if self.special_cut else [piece]:
+            if part in self.special:
+                out.append(self.special[part])
+            elif words := [w for w, _ in self.whole.pre_tokenizer.pre_tokenize_str(self.whole.normalizer.normalize_str(part))]:
+                back = {c: b for b, c in self.to_marks.items()}
+                lines = [bytes(back[ord(c)] for c in w) for w in words]
+                out += [x for ids in self.encode_marked(words, [self.cuts(line)[0] for line in lines]) for x in ids]
+        return out
+
+    def encode_pieces(self, pieces: list[str]) -> Ids:
+        """The ids of pieces without white space; special tokens are cut out first."""
+        other = [i for i, p in enumerate(pieces) if not (p.isascii() or _LATIN.fullmatch(p)) or (self.special_cut and "<" in p and self.special_cut.search(p))]
+        if not other:
+            return self.encode_latin(pieces)
+        gone = set(other)
+        latin = [i for i in range(len(pieces)) if i not in gone]
+        ids, few = self.encode_latin([pieces[i] for i in latin]) if latin else flat([])
+        more, many = flat([self.encode_other(pieces[i]) for i in other])
+        place = np.array(latin + other)
+        lengths, start = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        lengths[place] = np.concatenate((few, many))
+        start[place] = np.cumsum(lengths[place]) - lengths[place]
+        return np.concatenate((ids, more))[ragged(start, lengths)], lengths
+
+    def encode(self, texts: list[str]) -> Ids:
+        """All ids of the texts, and the row offsets."""
+        for known in (self.known_pieces, self.known_words):
+            if known.full():
+                known.clear()
+        rows = [split(t) for t in texts]
+        ids, lengths = self.known_pieces.look_up(list(chain.from_iterable(rows)))
+        pieces = np.cumsum([0, *map(len, rows)])
+        return ids, np.concatenate(([0], np.cumsum(lengths)))[pieces]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The UTF-8 text that the library decodes the ids to: the tokens as they stand, joined by blanks."""

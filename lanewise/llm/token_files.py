@@ -20,14 +20,13 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .forced_bpe import Pieces, text_slices
+from .forced_bpe import forced_boundary, text_slices
 from .shared import Workspace, open_fs
 
 BLOCK = 1024
@@ -167,20 +166,13 @@ def read_token_file(uri: str) -> Iterator[tuple[int, np.ndarray, bool]]:
                 block = to
 
 
-@lru_cache(maxsize=2)
-def library_pieces(path: str) -> Pieces:
-    """The library's own encoding of white-space-free pieces; no token and no normalisation reaches across white space."""
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    return Pieces(lambda pieces: [e.ids for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)])
-
-
 def write_token_files(docs: DataFrame, path: str, to: str, end_id: int) -> list[dict]:
     """Writes the ids of docs (doc_id, text) below the shared folder to, in ascending doc_id order over its files; returns the manifest.
 
     The rows are range-partitioned by doc_id (and the text's hash, so that a repeated doc_id is
-    divided, too), encoded where they arrive and written at once: ids are never shuffled. Null texts
+    divided, too), encoded where they arrive
+    (fragments between certain cuts by the tokenizers library's own model) and written at once: ids
+    are never shuffled. Null texts
     have the end id alone; a null doc_id counts as the smallest id and is kept as the least long.
     Rows of equal doc_id stand in the order of their texts' hashes. A file that an attempt leaves
     unfinished keeps a temporary name and is in no manifest.
@@ -190,12 +182,12 @@ def write_token_files(docs: DataFrame, path: str, to: str, end_id: int) -> list[
         from pyspark import TaskContext
 
         name, out = f"{to}/part-{TaskContext.get().partitionId():06d}.pfor", None
-        pieces, ending = library_pieces(path), np.array([end_id], np.uint32)
+        coder, ending = forced_boundary(path), np.array([end_id], np.uint32)
         for batch in batches:
             at, doc_ids = 0, batch.column(0).to_pylist()
             for rows in text_slices(batch.column(1)):
                 out = out or TokenFileWriter(name)
-                ids, ends = pieces.encode(rows)
+                ids, ends = coder.encode(rows)
                 out.add(doc_ids[at : at + len(rows)], np.insert(ids, ends[1:], ending[0]), np.diff(ends) + 1)
                 at += len(rows)
         if out:
