@@ -153,7 +153,8 @@ def _agreeing(table: pa.Table) -> Iterator[pa.RecordBatch]:
     sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(ids), REGISTERS)
     ci, cj = table.column("ci")[0].as_py(), table.column("cj")[0].as_py()
     left, right = np.flatnonzero(own == ci), np.flatnonzero(own == cj)
-    pairs = []
+    none = np.zeros(0, np.int64)
+    pairs = [(none, none)]
     for a in range(0, len(left), 256):
         x = left[a : a + 256]
         agree = np.zeros((len(x), len(right)), np.uint8)

@@ -135,7 +135,7 @@ def _in_range(table: pa.Table) -> Iterator[pa.RecordBatch]:
     left, right, alike = _sides(table)
     x = np.frombuffer(b"".join(table.column("x").to_pylist()), "<f4").reshape(len(reps), -1)
     most = budget(dim, blocks(dim)[block]) * (1 + 1e-4) + 1e-6
-    i, j = [], []
+    i, j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for a in range(0, len(left), 512):
         p, q = np.nonzero(_square(x[left[a : a + 512]], x[right]) <= most)
         p, q = left[a : a + 512][p], right[q]
@@ -170,7 +170,7 @@ def _linked(grid: int):
         g = min(grid, end - begin)
         home = cells(x[:, begin:end], math.sqrt(budget(raw.shape[1], parts[block])), g)
         links = np.zeros(len(reps), np.int64)
-        i, j = [], []
+        i, j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for a in range(0, len(left), 256):
             p = left[a : a + 256]
             hit = _square(x[p, begin:end], x[right, begin:end]) <= budget(raw.shape[1], parts[block])
