@@ -97,8 +97,7 @@ def gates_reason_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def gates_check_rows(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _gated(spark, folder).where("checks is not null").select("request_id", F.posexplode("checks").alias("ord", "x"))
-    return rows.select("request_id", F.col("ord").cast("bigint").alias("ord"), "x.field", "x.claimed", "x.decoded", F.round("x.score", 1).alias("score"), "x.threshold", "x.passed")
+    return _gated(spark, folder).select("request_id", F.inline(F.transform("checks", lambda x, i: F.struct(i.cast("bigint").alias("ord"), *(x[c].alias(c) for c in ("field", "claimed", "decoded", "score", "threshold", "passed"))))))
 
 
 def gates_advisories(spark: SparkSession, folder: str) -> DataFrame:
