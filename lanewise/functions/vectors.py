@@ -120,3 +120,22 @@ def selected_barcode(texts: Column) -> Column:
     """Of the texts that decoding attempts gave, in order: the first that begins like a licence, else the first at all."""
     some = F.filter(texts, lambda t: t.isNotNull() & (t != ""))
     return F.coalesce(F.get(F.filter(some, lambda t: t.startswith("@")), 0), F.get(some, 0))
+
+
+def face_square(x: Column, y: Column, w: Column, h: Column, scale: float = 2.7) -> Column:
+    """struct<x1, y1, x2, y2>: the square around a face for the live-person model; it may reach beyond the picture."""
+    half = F.greatest(w, h) * scale / 2
+    cx, cy = x + w / 2, y + h / 2
+    whole = lambda v: F.bround(v).cast("int")
+    return F.struct(whole(cx - half).alias("x1"), whole(cy - half).alias("y1"), whole(cx + half).alias("x2"), whole(cy + half).alias("y2"))
+
+
+def shrunk(width: Column, height: Column, side: int) -> Column:
+    """struct<w, h> of a picture whose longer side is at most side."""
+    scale = F.least(F.lit(1.0), F.lit(float(side)) / F.greatest(width, height))
+    return F.struct(F.greatest(F.lit(1), F.bround(width * scale).cast("int")).alias("w"), F.greatest(F.lit(1), F.bround(height * scale).cast("int")).alias("h"))
+
+
+def mean_of_flips(a: Column, b: Column) -> Column:
+    """The unit vector of a face and its mirror image together."""
+    return unit(F.zip_with(doubles(a), doubles(b), lambda x, y: x + y))
