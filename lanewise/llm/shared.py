@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: A table is broadcast only if its counted rows are within this (all such tables are a few longs wide).
 BROADCAST_ROWS = 1_000_000
+#: Rows of a file of a table with few narrow columns.
+FILE_ROWS = 250_000
 #: A key is hot if it holds at least 1 / HOT_SHARE of all rows, so at most HOT_SHARE keys are.
 HOT_SHARE = 1000
 
@@ -44,9 +46,15 @@ class Workspace:
         self.spark = spark
         self.path = f"{shared_root(spark).rstrip('/')}/lanewise/{name}-{uuid.uuid4().hex}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Writes df once and returns it read back, with its lineage cut."""
+    def keep(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """Writes df once and returns it read back, with its lineage cut.
+
+        Where a bound of its rows is known, it is written by as many tasks as these rows need, so that
+        small tables don't become hundreds of files that every later step has to open.
+        """
         at = f"{self.path}/{name}"
+        if rows is not None:
+            df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
         df.write.mode("overwrite").parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)
 
