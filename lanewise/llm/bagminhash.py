@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .forced_bpe import ragged
 from .shared import Workspace, attach, by_run, chunked, join_small
 from .shingles import bytes_of, counted, mix, shingle_hashes, slices
 
@@ -169,7 +170,9 @@ def _agreeing(table: pa.Table) -> Iterator[pa.RecordBatch]:
 def _overlapping(table: pa.Table) -> Iterator[pa.RecordBatch]:
     """Edges that join the documents of a candidate group whose multisets overlap by SIMILARITY, directly or over others.
 
-    Pairs already joined are passed over; every other pair's exact overlap is computed.
+    Pairs already joined are passed over; of all others the exact overlap is computed, unless a first
+    look at one document of a component joins the whole component. A forest is returned, so no more
+    edges than documents.
     """
     ids, own = table.column("doc_id").to_numpy(), table.column("own").to_numpy()
     ci, cj = table.column("ci")[0].as_py(), table.column("cj")[0].as_py()
@@ -178,33 +181,31 @@ def _overlapping(table: pa.Table) -> Iterator[pa.RecordBatch]:
     total = np.bincount(row, weights=weight, minlength=n)
     at = np.searchsorted(row, np.arange(n + 1))
     up, a, b = np.arange(n), [], []
-    side = own == cj
-    for c in range(n):
-        if own[c] != ci:
-            continue
-        open_ = side & (up != up[c])
-        if ci == cj:
-            open_[: c + 1] = False
-        small, large = np.minimum(total, total[c]), np.maximum(total, total[c])
-        open_ &= small >= SIMILARITY * large - 1e-9
-        if not open_.any():
-            continue
+
+    def similar(c: int, some: np.ndarray) -> np.ndarray:
         mine, count = elem[at[c] : at[c + 1]], weight[at[c] : at[c + 1]]
-        if open_.sum() < 0.25 * n:
-            some = np.flatnonzero(open_)
-            take = np.concatenate([np.arange(at[s], at[s + 1]) for s in some])
-        else:
-            take = slice(None)
+        take = ragged(at[some], at[some + 1] - at[some])
         place = np.minimum(np.searchsorted(mine, elem[take]), len(mine) - 1)
         shared = np.where(mine[place] == elem[take], np.minimum(count[place], weight[take]), 0)
-        overlap = np.bincount(row[take], weights=shared, minlength=n)
-        hit = np.flatnonzero(open_ & (overlap >= SIMILARITY * (total + total[c] - overlap) - 1e-9))
-        for h in hit:
-            a.append(ids[c])
-            b.append(ids[h])
-        if len(hit):
-            joined = np.isin(up, np.append(up[hit], up[c]))
-            up[joined] = up[joined].min()
+        overlap = np.bincount(row[take], weights=shared, minlength=n)[some]
+        return some[overlap >= SIMILARITY * (total[some] + total[c] - overlap) - 1e-9]
+
+    for c in np.flatnonzero(own == ci):
+        open_ = (own == cj) & (up != up[c])
+        if ci == cj:
+            open_[: c + 1] = False
+        open_ &= np.minimum(total, total[c]) >= SIMILARITY * np.maximum(total, total[c]) - 1e-9
+        some = np.flatnonzero(open_)
+        first = np.unique(up[some], return_index=True)[1]
+        for tried in (some[first], np.delete(some, first)):
+            tried = tried[up[tried] != up[c]]
+            hit = similar(c, tried) if len(tried) else tried
+            for h in hit[np.unique(up[hit], return_index=True)[1]]:
+                a.append(ids[c])
+                b.append(ids[h])
+            if len(hit):
+                joined = np.isin(up, np.append(up[hit], up[c]))
+                up[joined] = up[joined].min()
     if a:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
