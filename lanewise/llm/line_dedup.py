@@ -7,6 +7,9 @@ probes the index of each length from its own down to EDITS less with the substri
 chosen so that segments left and right still allow the edits that remain. Lines that share a key are
 verified by a bit-parallel edit distance over a band of 2 * EDITS + 1 diagonals.
 
+Lines of fewer than MIN_CHARS characters are too general to be near copies. Where short is asked for,
+equal ones are a class as well, blank ones apart; no edit join is made of them.
+
 Of a class - lines that links reach - the first occurrence by (doc_id, line) stays, all others go.
 """
 
@@ -26,7 +29,7 @@ from .shared import Forest, Workspace, attach, by_run, chunked, join_small
 from .shingles import mix, powers
 
 EDITS = 2
-#: Shorter lines are left alone: they are too general to be copies.
+#: Shorter lines are in no edit join: they are too general to be near copies.
 MIN_CHARS = 20
 CHUNK = 1024
 
@@ -135,14 +138,14 @@ def within(a: str, b: str, edits: int = EDITS) -> bool:
     return score <= edits
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, id) of each line that counts."""
+def _lines(docs: DataFrame, short: bool) -> DataFrame:
+    """(doc_id, line, id) of each line that counts: those from MIN_CHARS on, and with short all others that are not blank."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, at = batch.column(0).to_pylist(), 0
             for rows in text_slices(batch.column(1)):
-                found = [(d, k, line_id(line)) for d, t in zip(ids[at:], rows, strict=False) for k, line in enumerate(t.split("\n")) if len(line) >= MIN_CHARS]
+                found = [(d, k, line_id(line)) for d, t in zip(ids[at:], rows, strict=False) for k, line in enumerate(t.split("\n")) if len(line) >= MIN_CHARS or short and line.strip()]
                 at += len(rows)
                 if found:
                     a, b, c = zip(*found, strict=True)
@@ -200,16 +203,16 @@ def _similar(table: pa.Table) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*edges, strict=True)], names=["a", "b"])
 
 
-def repeated_lines(docs: DataFrame) -> DataFrame:
+def repeated_lines(docs: DataFrame, short: bool = False) -> DataFrame:
     """doc_id, gone: the places (from 0) of the lines of each document that go; documents without any are left out.
 
-    Lines are what stands between line feeds, and count from MIN_CHARS characters on. Equal lines are
-    one node, whose id is a 64-bit hash of the line. Rows that share a doc_id are one document, whose
+    Lines are what stands between line feeds, and count from MIN_CHARS characters on; with short those
+    below count as well if they aren't blank, but only as copies of equal lines. Equal lines are one node, whose id is a 64-bit hash of the line. Rows that share a doc_id are one document, whose
     lines of equal place occur together; rows with a null doc_id or text have no lines.
     """
     work = Workspace(docs.sparkSession, "lines")
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    occurrences = work.keep(_lines(own), "occurrences")
+    occurrences = work.keep(_lines(own, short), "occurrences")
     lines = work.keep(occurrences.groupBy("id").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")), "lines")
     total = lines.agg(F.sum("n")).first()[0] or 0
 
@@ -239,14 +242,14 @@ def without(text: Column, gone: Column) -> Column:
     return F.when(gone.isNull(), text).otherwise(F.array_join(left, "\n"))
 
 
-def deduplicate(docs: DataFrame, keep_empty: bool = True) -> DataFrame:
+def deduplicate(docs: DataFrame, keep_empty: bool = True, short: bool = False) -> DataFrame:
     """docs with their repeated lines taken out of text, and n_chars, if there, made to match; other columns as they are.
 
     Texts without a repeated line stay as they are, null ones too. With keep_empty=False the rows of
     which nothing but white space is left go, as every line of theirs stands in another document.
     """
     mark, key = "__gone", "__doc_id"
-    found = repeated_lines(docs).select(F.col("doc_id").alias(key), F.col("gone").alias(mark))
+    found = repeated_lines(docs, short).select(F.col("doc_id").alias(key), F.col("gone").alias(mark))
     joined = docs.join(found.hint("merge"), docs["doc_id"].cast("bigint") == found[key], "left").withColumn("text", without(F.col("text"), F.col(mark)))
     if "n_chars" in docs.columns:
         kind = dict(docs.dtypes)["n_chars"]
@@ -256,10 +259,10 @@ def deduplicate(docs: DataFrame, keep_empty: bool = True) -> DataFrame:
     return joined.select(*docs.columns)
 
 
-def line_digest(docs: DataFrame) -> DataFrame:
+def line_digest(docs: DataFrame, short: bool = False) -> DataFrame:
     """doc_id, n_lines, n_gone, gone, text_sha256 (of the text that is left) for each row of docs; a null text has no lines and a null digest."""
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    joined = own.join(repeated_lines(own).hint("merge"), "doc_id", "left")
+    joined = own.join(repeated_lines(own, short).hint("merge"), "doc_id", "left")
     return joined.select(
         "doc_id",
         F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("bigint").alias("n_lines"),

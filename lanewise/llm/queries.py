@@ -73,7 +73,7 @@ def op8_warc_writer(spark: SparkSession, folder: str) -> DataFrame:
 def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     from .line_dedup import line_digest
 
-    return line_digest(_table(spark, folder, "documents"))
+    return line_digest(_table(spark, folder, "documents"), short=True)
 
 
 def op10_forced_boundary_bpe(spark: SparkSession, folder: str) -> DataFrame:

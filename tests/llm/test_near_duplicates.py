@@ -196,6 +196,18 @@ def test_lines_by_brute_force(spark):
     assert line_dedup.deduplicate(docs).columns == docs.columns
 
 
+def test_short_lines_go_as_exact_copies_only(spark, tmp_path):
+    from lanewise.llm import queries
+
+    rows = [(1, "one\n\none\n  \ntwo"), (2, "two\none\n\n  \nonee"), (3, "x" * 19 + "\n" + "y" * 25), (4, "x" * 19 + "\n" + "y" * 24 + "\n" + "x" * 18), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op9_line_dedup(spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: r["gone"] for r in got} == {1: [2], 2: [0, 1], 3: [], 4: [0, 1], 5: []}
+    left = {r["doc_id"]: r["text"] for r in line_dedup.deduplicate(docs, short=True).collect()}
+    assert left == {1: "one\n\n  \ntwo", 2: "\n  \nonee", 3: rows[2][1], 4: "x" * 18, 5: None}
+
+
 def test_contained_items_by_brute_force(spark):
     rng = random.Random(6)
     items = [(i, " ".join(rng.choice(WORDS) for _ in range(rng.choice([2, 5, 9, 14, 40, 60])))) for i in range(30)] + [(90, None), (91, ""), (92, "w1 w2 w3 w4 w5 w6")]
