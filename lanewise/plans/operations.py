@@ -35,8 +35,8 @@ def canonical_record(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _manifests(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """A session for each user with its first events as files; some files are changed, some lost, some signatures wrong."""
-    e = _events(spark, folder).where("event_id % 5 = 0").select("event_id", F.concat(F.lit("sessions/u"), F.col("user_id").cast("string")).alias("prefix"), F.concat(F.lit("f"), F.col("event_id").cast("string")).alias("path"), F.sha2(F.col("event_id").cast("string"), 256).alias("sha256"))
+    """A session for each user with its events as files; some files are changed, some lost, some signatures wrong."""
+    e = _events(spark, folder).select("event_id", F.concat(F.lit("sessions/u"), F.col("user_id").cast("string")).alias("prefix"), F.concat(F.lit("f"), F.col("event_id").cast("string")).alias("path"), F.sha2(F.col("event_id").cast("string"), 256).alias("sha256"))
     files = e.where("event_id % 35 <> 0").select("prefix", "path", F.when(F.col("event_id") % 55 == 0, F.sha2(F.lit("changed"), 256)).otherwise(F.col("sha256")).alias("sha256"))
     listed = e.groupBy("prefix").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("path", "sha256")))).alias("files"))
     good = security.hmac_sha256(F.col("prefix"), KEY)

@@ -34,6 +34,18 @@ def test_manifest_faults(spark):
     assert got == {"p": (True, ["c"], ["b"]), "q": (False, [], []), "e": (True, [], [])}
 
 
+def test_every_event_is_a_file_of_its_session(spark, tmp_path):
+    from lanewise.plans import operations
+
+    rows = [(i, "2024-01-01 00:00:00", u, "click", 1.0, "{}") for i, u in ((1, 1), (2, 1), (35, 2), (36, 2), (55, 3), (58, 7))]
+    spark.createDataFrame(rows, "event_id bigint, ts string, user_id bigint, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
+    listed, files = operations._manifests(spark, str(tmp_path))
+    assert {r["prefix"]: sorted(r["files"]) for r in listed.collect()} == {"sessions/u1": ["f1", "f2"], "sessions/u2": ["f35", "f36"], "sessions/u3": ["f55"], "sessions/u7": ["f58"]}
+    assert files.count() == 5
+    got = sorted(map(tuple, operations.manifest_verify(spark, str(tmp_path)).collect()))
+    assert got == [("sessions/u1", True, "", ""), ("sessions/u2", True, "f35", ""), ("sessions/u3", True, "", "f55"), ("sessions/u7", False, "", "")]
+
+
 def test_retention_limits(spark):
     rows = [("r71", 71, "REJECTED", True), ("r73", 73, "REJECTED", True), ("a29", 29 * 24, "APPROVED", True), ("a31", 31 * 24, "APPROVED", True), ("i1", 0.98, None, False), ("i2", 2, None, False), ("x", 9999, None, True)]
     df = spark.createDataFrame([(p, float(h), d, c) for p, h, d, c in rows], "prefix string, hours double, decision string, committed boolean")
