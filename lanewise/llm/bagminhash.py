@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -94,9 +94,16 @@ def bands_of(sig: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def _node(text: Column) -> Column:
+    """The number of a text: the first 64 bits of its md5."""
+    bits = F.md5(text)
+    high, low = (F.conv(F.substring(bits, at, 8), 16, 10).cast("bigint") for at in (1, 9))
+    return F.shiftleft(high, 32).bitwiseOR(low)
+
+
 def _signed(docs: DataFrame) -> DataFrame:
-    """doc_id, h (md5 of the text), sig (a byte of each register), bands of the documents that have a word."""
-    schema = "doc_id bigint, h binary, sig binary, bands array<bigint>"
+    """doc_id, node (of the text), sig (a byte of each register), bands of the documents that have a word."""
+    schema = "doc_id bigint, node bigint, sig binary, bands array<bigint>"
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,11 +124,11 @@ def _signed(docs: DataFrame) -> DataFrame:
                         pa.array([x.tobytes() for x in low], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.reshape(-1))),
                     ],
-                    names=["doc_id", "h", "sig", "bands"],
+                    names=["doc_id", "node", "sig", "bands"],
                 )
 
     rows = docs.where("doc_id is not null and text is not null")
-    return rows.select(F.col("doc_id").cast("bigint"), F.unhex(F.md5("text")).alias("h"), "text").mapInArrow(each, schema)
+    return rows.select(F.col("doc_id").cast("bigint"), _node(F.col("text")).alias("node"), "text").mapInArrow(each, schema)
 
 
 def local_components(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -150,7 +157,7 @@ def stars(ids: np.ndarray, up: np.ndarray) -> pa.RecordBatch:
 
 def _agreeing(table: pa.Table) -> Iterator[pa.RecordBatch]:
     """Edges that join the documents of a bucket which agree in FLOOR of their registers, directly or over others."""
-    ids, own = table.column("doc_id").to_numpy(), table.column("own").to_numpy()
+    ids, own = table.column("node").to_numpy(), table.column("own").to_numpy()
     sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(ids), REGISTERS)
     ci, cj = table.column("ci")[0].as_py(), table.column("cj")[0].as_py()
     left, right = np.flatnonzero(own == ci), np.flatnonzero(own == cj)
@@ -174,7 +181,7 @@ def _overlapping(table: pa.Table) -> Iterator[pa.RecordBatch]:
     look at one document of a component joins the whole component. A forest is returned, so no more
     edges than documents.
     """
-    ids, own = table.column("doc_id").to_numpy(), table.column("own").to_numpy()
+    ids, own = table.column("node").to_numpy(), table.column("own").to_numpy()
     ci, cj = table.column("ci")[0].as_py(), table.column("cj")[0].as_py()
     row, elem, weight = counted(*shingle_hashes(*bytes_of(table.column("text"))))
     n = len(ids)
@@ -210,60 +217,75 @@ def _overlapping(table: pa.Table) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id: the smallest doc_id that links of similarity >= SIMILARITY reach, for each row of docs.
-
-    Equal texts are one node. Texts with one to four words have one shingle of them all; null texts
-    and texts without words link with nothing, equal ones included. Rows that share a doc_id are one
-    document. Null ids give a null class. Only doc_id and text are read.
-    """
-    spark: SparkSession = docs.sparkSession
-    work = Workspace(spark, "near-duplicates")
+def _classes(docs: DataFrame, work: Workspace) -> DataFrame:
+    """doc_id, node, root (a node of the class), class_id of each text with a word, once for each id that it has."""
     signed = work.keep(_signed(docs.select("doc_id", "text")), "signed")
-    texts = work.keep(signed.groupBy("h").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "texts")
+    texts = work.keep(signed.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "texts")
     total = texts.agg(F.sum("n")).first()[0] or 0
     reps = work.keep(
-        signed.join(texts.select("h", F.col("rep").alias("doc_id")), ["h", "doc_id"]).select("doc_id", "sig", "bands").dropDuplicates(["doc_id"]), "reps"
+        signed.join(texts.select("node", F.col("rep").alias("doc_id")), ["node", "doc_id"]).select("node", "sig", "bands").dropDuplicates(["node"]), "reps"
     )
-    keyed = reps.select("doc_id", F.explode("bands").alias("key"))
-    buckets = work.keep(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("n > 1"), "buckets")
+    keyed = reps.select("node", F.explode("bands").alias("key"))
+    buckets = work.keep(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("b")).where("n > 1"), "buckets")
 
     # a bucket of two is a pair; larger ones are looked at in tasks of two chunks
     same = F.udf(lambda x, y: sum(map(int.__eq__, x, y)) >= FLOOR * REGISTERS, "boolean", useArrow=True)
     pairs = buckets.where("n = 2").select("a", "b").distinct()
-    pairs = pairs.join(reps.select(F.col("doc_id").alias("a"), F.col("sig").alias("x")), "a").join(reps.select(F.col("doc_id").alias("b"), F.col("sig").alias("y")), "b")
+    pairs = pairs.join(reps.select(F.col("node").alias("a"), F.col("sig").alias("x")), "a").join(reps.select(F.col("node").alias("b"), F.col("sig").alias("y")), "b")
     larger = work.keep(buckets.where("n > 2").select("key", "n"), "larger")
     in_larger = larger.agg(F.sum("n")).first()[0] or 0
     members = attach(keyed, larger, ["key"], in_larger)
-    members = chunked(members, "doc_id", BUCKET_CHUNK).join(reps.select("doc_id", "sig"), "doc_id")
-    stars_ = by_run(members.select("key", "ci", "cj", "own", "doc_id", "sig"), ["key", "ci", "cj"], _agreeing, "a bigint, b bigint")
+    members = chunked(members, "node", BUCKET_CHUNK).join(reps.select("node", "sig"), "node")
+    stars_ = by_run(members.select("key", "ci", "cj", "own", "node", "sig"), ["key", "ci", "cj"], _agreeing, "a bigint, b bigint")
     candidates = connected_components(work, pairs.where(same("x", "y")).select("a", "b").unionByName(stars_), "candidates")
 
     groups = work.keep(candidates, "groups")
     sizes = work.keep(groups.groupBy("root").agg(F.count("*").alias("n")), "sizes")
     in_groups = sizes.agg(F.sum("n")).first()[0] or 0
-    placed = chunked(attach(groups, sizes, ["root"], in_groups).withColumnRenamed("id", "doc_id"), "doc_id", GROUP_CHUNK)
-    placed = work.keep(placed.select("doc_id", "root", "ci", "cj", "own"), "placed")
-    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    taken = join_small(own, placed, ["doc_id"], placed.count())
-    links = by_run(taken.select("root", "ci", "cj", "own", "doc_id", "text"), ["root", "ci", "cj"], _overlapping, "a bigint, b bigint")
-    classes = connected_components(work, links, "links")
-
-    named = texts.join(classes.withColumnRenamed("id", "rep"), "rep", "left").select("h", "n", F.coalesce("root", "rep").alias("class_id"))
+    placed = chunked(attach(groups, sizes, ["root"], in_groups).withColumnRenamed("id", "node"), "node", GROUP_CHUNK)
+    placed = work.keep(placed.join(texts.select("node", F.col("rep").alias("doc_id")), "node").select("doc_id", "node", "root", "ci", "cj", "own"), "placed")
+    own = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), _node(F.col("text")).alias("node"), "text")
+    taken = join_small(own, placed, ["doc_id", "node"], placed.count())
+    links = by_run(taken.select("root", "ci", "cj", "own", "node", "text"), ["root", "ci", "cj"], _overlapping, "a bigint, b bigint")
+    linked = work.keep(connected_components(work, links, "links").withColumnRenamed("id", "node").join(texts.select("node", "rep"), "node"), "linked")
+
+    # a class has the smallest id of all its texts
+    tops = work.keep(linked.groupBy("root").agg(F.min("rep").alias("top"), F.count("*").alias("n")), "tops")
+    topped = attach(linked.select("node", "root"), tops, ["root"], tops.agg(F.sum("n")).first()[0] or 0).select("node", "root", "top")
+    named = texts.join(topped, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"), F.coalesce("top", "rep").alias("class_id"))
     named = work.keep(named, "named")
-    known = attach(signed.select("doc_id", "h"), named, ["h"], total).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
-    return docs.select(F.col("doc_id").cast("bigint")).join(known.hint("merge"), "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    return attach(signed.select("doc_id", "node"), named, ["node"], total).select("doc_id", "node", "root", "class_id").distinct()
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id: the smallest doc_id that links of similarity >= SIMILARITY reach, for each row of docs.
+
+    Equal texts are one node. Texts with one to four words have one shingle of them all; null texts
+    and texts without words link with nothing, equal ones included. Rows that share a doc_id are
+    classed by their texts. Null ids give a null class. Only doc_id and text are read.
+    """
+    known = _classes(docs, Workspace(docs.sparkSession, "near-duplicates")).drop("root")
+    rows = docs.select(F.col("doc_id").cast("bigint"), _node(F.col("text")).alias("node"))
+    return rows.join(known.hint("merge"), ["doc_id", "node"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs without those that are near duplicates of a document with a smaller id; of rows that share a doc_id one stays."""
+    """The rows of docs without those that are near duplicates of a document with a smaller id.
+
+    Of rows that share a doc_id one stays for each class of their texts, and one of equal texts without a word.
+    """
     work = Workspace(docs.sparkSession, "one-of-each")
-    classes = work.keep(near_duplicates(docs), "classes")
-    gone = work.keep(classes.where("doc_id <> class_id").select("doc_id").distinct(), "gone")
-    left = join_small(docs, gone, ["doc_id"], gone.count(), "left_anti")
-    repeated = work.keep(classes.where("doc_id = class_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    id_, node = "__doc_id", "__node"
+    classes = work.keep(_classes(docs, work), "classes")
+    # of the texts that have their class's id, the one with the smallest node stays
+    own = work.keep(classes.where("doc_id = class_id").groupBy("root").agg(F.min("node").alias("first"), F.count("*").alias("n")), "own")
+    others = classes.where("doc_id = class_id").join(own.where("n > 1").select("root", "first"), "root").where("node <> first")
+    gone = work.keep(classes.where("doc_id <> class_id").select("doc_id", "node").unionByName(others.select("doc_id", "node")), "gone")
+    marked = docs.withColumn(id_, F.col("doc_id").cast("bigint")).withColumn(node, _node(F.col("text")))
+    left = join_small(marked, gone.toDF(id_, node), [id_, node], gone.count(), "left_anti")
+    repeated = work.keep(docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("bigint").alias(id_)).count().where("count > 1").select(id_), "repeated")
     some = repeated.count()
-    if not some:
-        return left
-    alone = join_small(left, repeated, ["doc_id"], some, "left_anti")
-    return alone.unionByName(join_small(left, repeated, ["doc_id"], some, "left_semi").dropDuplicates(["doc_id"]))
+    if some:
+        alone = join_small(left, repeated, [id_], some, "left_anti")
+        left = alone.unionByName(join_small(left, repeated, [id_], some, "left_semi").dropDuplicates([id_, node]))
+    return left.select(*docs.columns)

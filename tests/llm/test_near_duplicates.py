@@ -87,6 +87,25 @@ def test_odd_tables(spark):
     assert sorted(r["doc_id"] or 0 for r in bagminhash.one_of_each(rows).collect()) == [0, 1]
 
 
+def test_rows_of_one_id_are_classed_by_their_texts(spark):
+    rng = random.Random(11)
+    x, y, z = ([rng.choice(WORDS) for _ in range(100)] for _ in range(3))
+    near = lambda words: " ".join([*words[:-1], "other"])
+    x, y, z, near_x, near_y, near_z = *(" ".join(w) for w in (x, y, z)), near(x), near(y), near(z)
+    rows = [(1, x), (1, y), (1, near_y), (2, near_x), (3, near_y), (4, z), (4, None), (4, None), (5, near_z), (5, "a b c d e f g"), (6, ""), (7, "")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    got = sorted(map(tuple, bagminhash.near_duplicates(docs).collect()))
+    assert got == [(1, 1), (1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (4, 4), (4, 4), (5, 4), (5, 5), (6, 6), (7, 7)]
+    kept = bagminhash.one_of_each(docs)
+    assert kept.dtypes == docs.dtypes
+    kept = [tuple(r) for r in kept.collect()]
+    of_y = [r for r in kept if r in ((1, y), (1, near_y))]
+    assert len(of_y) == 1
+    rest = [r for r in kept if r not in of_y]
+    assert len(rest) == 6
+    assert set(rest) == {(1, x), (4, z), (4, None), (5, "a b c d e f g"), (6, ""), (7, "")}
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(40)] + [(100 + i, 100) for i in range(50)] + [(rng.randint(200, 400), rng.randint(200, 400)) for _ in range(120)] + [(7, 7)]
