@@ -223,7 +223,7 @@ def colour_family(spark: SparkSession, folder: str) -> DataFrame:
 
 def session_prefixes(spark: SparkSession, folder: str) -> DataFrame:
     p = fixtures.read(spark, folder, "pages")
-    return p.select("page_id", text.safe_folder(F.col("url")).alias("folder"), text.valid_key(F.substring("url", 9, 200)).alias("valid"))
+    return p.select("page_id", text.safe_folder(F.col("url")).alias("folder"), text.valid_key(F.expr("substring(url, 9)")).alias("valid"))
 
 
 _SAFE = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(coalesce({0}, '')), '[/\\]+', '_', 'g'), '\.{{2,}}', '_', 'g'), '[^a-zA-Z0-9_.\-]', '_', 'g'), '^[._]+|[._]+$', '', 'g')"""

@@ -63,6 +63,16 @@ def test_deletions_keep_to_segments(spark):
     assert [r[0] for r in readers.deletion_plan(keys, plan).collect()] == ["sessions/d/r/originals/a"]
 
 
+def test_whole_urls_are_judged(spark, tmp_path):
+    from lanewise.plans import verification
+
+    good = "https://" + "a/" * 110
+    rows = [(1, good + "b"), (2, good + "b.tmp"), (3, good + "/b"), (4, None)]
+    spark.createDataFrame(rows, "page_id bigint, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r["page_id"]: r["valid"] for r in verification.session_prefixes(spark, str(tmp_path)).collect()}
+    assert got == {1: True, 2: False, 3: False, 4: False}
+
+
 def test_replays(spark):
     rows = spark.createDataFrame([("a", "x", 1, 1), ("a", "x", 2, 2), ("a", "y", 3, 3), ("b", "y", 1, 4)], "request_id string, payload_sha256 string, at int, seq int")
     assert [r["status"] for r in sessions.replay_status(rows).orderBy("seq").collect()] == ["new", "replay", "conflict", "new"]
