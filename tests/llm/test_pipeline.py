@@ -1,4 +1,15 @@
+import itertools
+import random
+import unicodedata
+import zlib
+
+import numpy as np
+
 import corpus_pipeline
+from lanewise.llm import language_id
+from lanewise.llm.queries import tokenizer_path
+from lanewise.llm.shared import Forest
+from tests.llm.test_near_duplicates import bag, classes, distance
 
 SF = "/root/testdata/sf0.001"
 
@@ -23,3 +34,88 @@ def test_queries_are_registered(spark):
     assert "pipeline" in names
     assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)}
     assert set(__spark_entry__.oracle_sql()) <= set(names)
+
+
+def plain_languages(rows):
+    """Ids of the rows that language ID keeps: trigram by trigram, from the vectors of single letters."""
+    letter = {}
+
+    def profile(text):
+        words = "".join(c if unicodedata.category(c)[0] == "L" else " " for c in (text or "").lower()).split()
+        total = np.zeros(language_id.DIM)
+        s = f" {' '.join(words)} "
+        for three in zip(s, s[1:], s[2:], strict=False):
+            for c in three:
+                if c not in letter:
+                    letter[c] = language_id.letter_vectors(np.array([ord(c)], np.uint32))[0].astype(float)
+            a, b, c = (letter[x] for x in three)
+            total += np.roll(a, 2) * np.roll(b, 1) * c
+        return total / np.linalg.norm(total) if words else None
+
+    sums = {}
+    for i, text, lang in rows:
+        if lang and zlib.crc32(str(i).encode()) % 4 != 2 and (p := profile(text)) is not None:
+            sums[lang] = sums.get(lang, 0) + np.rint(p * 10_000)
+    models = [v / np.linalg.norm(v) for v in sums.values()]
+    return {i for i, text, _ in rows if (p := profile(text)) is not None and round(max(p @ m for m in models), 6) >= corpus_pipeline.LEAST_COSINE}
+
+
+def plain_lines(rows):
+    """id -> text without the lines that stand in an earlier place, near copies from 20 characters on."""
+    spots = sorted((i, k, x) for i, t in rows.items() for k, x in enumerate(t.split("\n")) if len(x) >= 20 or x.strip())
+    distinct = sorted({x for _, _, x in spots})
+    forest, first, gone = Forest(len(distinct)), {}, set()
+    for (a, x), (b, y) in itertools.combinations(enumerate(distinct), 2):
+        if min(len(x), len(y)) >= 20 and abs(len(x) - len(y)) <= 2 and distance(x, y) <= 2:
+            forest.union(a, b)
+    place = {x: forest.find(i) for i, x in enumerate(distinct)}
+    for i, k, x in spots:
+        if first.setdefault(place[x], (i, k)) != (i, k):
+            gone.add((i, k))
+    left = {i: "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone) for i, t in rows.items()}
+    return {i: t for i, t in left.items() if t.strip() or t == rows[i]}
+
+
+def plain_near(rows):
+    bags = {i: bag(t) for i, t in rows.items()}
+    found = classes(sorted(rows.items()), lambda x, y: bool(bag(x)) and sum((bag(x) & bag(y)).values()) >= 0.8 * sum((bag(x) | bag(y)).values()) - 1e-9)
+    return {i: t for i, t in rows.items() if found[i] == i or not bags[i]}
+
+
+def plain_leaks(rows, items):
+    return {i: t for i, t in rows.items() if not any(len(set(bag(x)) & set(bag(t))) >= 0.8 * len(set(bag(x))) - 1e-9 for x in items)}
+
+
+def test_stages_against_plain_versions(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    rng, sounds, rows = random.Random(3), {"aa": "aeioulmn", "bb": "bdgkrtzä", "cc": "шжчайор"}, []
+    make = lambda s, n: " ".join("".join(rng.choice(s) for _ in range(rng.randint(2, 7))) for _ in range(n))
+    items = [make(sounds["aa"], 12), make(sounds["bb"], 20)]
+    for k in range(24):
+        lang = ["aa", "bb", "cc"][k % 3]
+        rows.append((k, "\n".join(make(sounds[lang], rng.randint(2, 30)) for _ in range(3)), lang))
+    rows += [(30, "12 34 !", "aa"), (31, None, "aa"), (32, "ᚠᚢᚦ ᚨᚱᚲ", None), (33, "ღმერთი ქართული", None)]
+    rows += [(40, f"{make(sounds['aa'], 30)}\n{items[0]}\n{make(sounds['aa'], 30)}", "aa"), (41, " ".join(items[1].split()[:19]), "bb")]
+    long = make(sounds["bb"], 150).split()
+    rows += [(50, " ".join(long), "bb"), (51, " ".join([*long[:70], "xx", *long[71:]]), "bb"), (52, " ".join([*long[:100], *make(sounds["bb"], 50).split()]), "bb")]
+    line = make(sounds["aa"], 9)
+    rows += [(60, f"{line}\nla\n\nmeno\nla", "aa"), (61, f"{line[:5]}x{line[5:]}\nla\n\nmeno", "aa"), (62, f"la\n{make(sounds['aa'], 20)}\n{line[:-3]}", "aa")]
+    docs = spark.createDataFrame([(i, t, g, "s", len(t or "")) for i, t, g in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    kept = plain_languages(rows)
+    want = [{i: t for i, t, _ in rows if i in kept}]
+    want += [plain_lines(want[-1])]
+    want += [plain_near(want[-1])]
+    want += [plain_leaks(want[-1], items)]
+    assert [len(a) > len(b) for a, b in zip([rows, *want], want, strict=False)] == [True] * 4
+    left = docs
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        then = stage(spark, left, str(tmp_path)).collect()
+        assert {r["doc_id"]: r["text"] for r in then} == want[k], name
+        assert len(then) == len(want[k]), name
+        left = spark.createDataFrame(then, docs.schema)
+    tokens = Tokenizer.from_file(tokenizer_path())
+    got = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in corpus_pipeline.STAGES[-1][1](spark, left, str(tmp_path)).collect()}
+    assert got == {i: tokens.encode(t, add_special_tokens=False).ids for i, t in want[-1].items()}
