@@ -1,17 +1,12 @@
-"""Where streams keep their state and rows: the shared folder that the session names."""
+"""Where streams keep their state and rows: a folder below the shared one that the session names."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import SparkSession
 
+from lanewise.sources.folders import Workspace
+
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; below a temporary one only where that is unset (tests)."""
-    sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="lanewise-stream-")
-    return f"{root.rstrip('/')}/lanewise-streams/{name}-{uuid.uuid4().hex}"
+    """A new folder; it goes when the application ends."""
+    return Workspace(spark, f"stream-{name}").path
