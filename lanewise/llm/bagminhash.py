@@ -11,6 +11,11 @@ signature still needs, so a weight of w costs about log w and most points are ne
 Documents that share one of BANDS bands of ROWS registers and agree in enough registers form candidate
 groups, and within these the exact overlap decides. At similarity 0.8 a pair misses all bands with
 probability (1 - 0.8**4)**24 = 3e-6, and fewer than one in 1e8 falls below the agreement floor.
+
+Large buckets and groups are taken in two rounds. First every member meets the group's leader, chunk
+by chunk, which joins copies of one text in time that grows with their number. What is left over then
+meets all members, so that no link is lost; of a very large bucket the left-over members are first told
+apart by a second band, which a similar pair misses with probability (1 - 0.8**4)**23 = 5e-6.
 """
 
 from __future__ import annotations
@@ -24,16 +29,18 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .forced_bpe import ragged
-from .shared import Workspace, attach, by_run, chunked, join_small
-from .shingles import bytes_of, counted, mix, shingle_hashes, slices
+from .shared import Workspace, attach, by_run, chunks_of, join_small, released
+from .shingles import counted, mix, shingle_hashes, slices
 
 ROWS, BANDS = 4, 24
 REGISTERS = ROWS * BANDS
 SIMILARITY = 0.8
 #: Candidates agree in this share of registers (of a byte each) at least: six deviations below SIMILARITY.
 FLOOR = 0.55
-#: Documents of a bucket or candidate group that meet in a task: two chunks at most.
-BUCKET_CHUNK, GROUP_CHUNK = 2048, 512
+#: Documents of a chunk of a bucket or of a candidate group, and bytes of text of a chunk of a group; two chunks meet in a task.
+BUCKET_CHUNK, GROUP_CHUNK, CHUNK_BYTES = 2048, 512, 4 << 20
+#: Left-over members of larger buckets are told apart by a second band.
+DEEP_BUCKET = 4096
 _U = np.uint64
 
 
@@ -102,11 +109,11 @@ def _node(text: Column) -> Column:
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """doc_id, node (of the text), sig (a byte of each register), bands of the documents that have a word."""
-    schema = "doc_id bigint, node bigint, sig binary, bands array<bigint>"
+    """doc_id, node (of the text), bytes of the text, sig (a byte of each register), bands of the documents that have a word."""
+    schema = "doc_id bigint, node bigint, bytes bigint, sig binary, bands array<bigint>"
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             for begin, end, raw, at in slices(batch.column(2)):
                 hashes, shingle_at = shingle_hashes(raw, at)
                 row, elem, weight = counted(hashes, shingle_at)
@@ -121,10 +128,11 @@ def _signed(docs: DataFrame) -> DataFrame:
                     [
                         batch.column(0).take(pick),
                         batch.column(1).take(pick),
+                        pa.array(np.diff(at)[has]),
                         pa.array([x.tobytes() for x in low], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.reshape(-1))),
                     ],
-                    names=["doc_id", "node", "sig", "bands"],
+                    names=["doc_id", "node", "bytes", "sig", "bands"],
                 )
 
     rows = docs.where("doc_id is not null and text is not null")
@@ -155,12 +163,26 @@ def stars(ids: np.ndarray, up: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(own[own != top]), pa.array(top[own != top])], names=["a", "b"])
 
 
+def _registers(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """A column of signatures as rows of REGISTERS bytes."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), REGISTERS)
+
+
+def _told(pairs: DataFrame) -> DataFrame:
+    """pairs(key, node, n, b, x, y) without the signatures x and y, with same: whether these agree in FLOOR of their registers."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same = (_registers(batch.column(4)) == _registers(batch.column(5))).sum(axis=1) >= FLOOR * REGISTERS if batch.num_rows else np.zeros(0, bool)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(same)], names=["key", "node", "n", "b", "same"])
+
+    return pairs.select("key", "node", "n", "b", "x", "y").mapInArrow(each, "key bigint, node bigint, n bigint, b bigint, same boolean")
+
+
 def _agreeing(table: pa.Table) -> Iterator[pa.RecordBatch]:
-    """Edges that join the documents of a bucket which agree in FLOOR of their registers, directly or over others."""
-    ids, own = table.column("node").to_numpy(), table.column("own").to_numpy()
-    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(ids), REGISTERS)
-    ci, cj = table.column("ci")[0].as_py(), table.column("cj")[0].as_py()
-    left, right = np.flatnonzero(own == ci), np.flatnonzero(own == cj)
+    """Edges that join the left-over documents of a bucket (side 0) with others of it (side 1) that agree in FLOOR of the registers."""
+    ids, side, sig = table.column("node").to_numpy(), table.column("side").to_numpy(), _registers(table.column("sig"))
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     none = np.zeros(0, np.int64)
     pairs = [(none, none)]
     for a in range(0, len(left), 256):
@@ -170,24 +192,27 @@ def _agreeing(table: pa.Table) -> Iterator[pa.RecordBatch]:
             agree += sig[x, k][:, None] == sig[right, k][None, :]
         p, q = np.nonzero(agree >= FLOOR * REGISTERS)
         pairs.append((x[p], right[q]))
-    up = local_components(len(ids), np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs]))
-    yield stars(ids, up)
+    # a node may stand on either side, so its places are one
+    place = np.unique(ids, return_inverse=True)[1]
+    up = local_components(len(ids), place[np.concatenate([p[0] for p in pairs])], place[np.concatenate([p[1] for p in pairs])])
+    first = np.unique(place, return_index=True)[1]
+    yield stars(ids[first], up[: len(first)])
+
 
+def _joined(table: pa.Table, up: np.ndarray, left: np.ndarray, right: np.ndarray | None = None) -> tuple[list[int], list[int], np.ndarray]:
+    """Pairs of places whose multisets overlap by SIMILARITY and that join left with right, and the components then; up has those before.
 
-def _overlapping(table: pa.Table) -> Iterator[pa.RecordBatch]:
-    """Edges that join the documents of a candidate group whose multisets overlap by SIMILARITY, directly or over others.
+    Without right the places of left meet one another.
 
-    Pairs already joined are passed over; of all others the exact overlap is computed, unless a first
-    look at one document of a component joins the whole component. A forest is returned, so no more
-    edges than documents.
+    Of two places that are joined already nothing is computed; of all others the exact overlap is,
+    unless a first look at one document of a component joins the whole component. So there are fewer
+    pairs than places.
     """
-    ids, own = table.column("node").to_numpy(), table.column("own").to_numpy()
-    ci, cj = table.column("ci")[0].as_py(), table.column("cj")[0].as_py()
-    row, elem, weight = counted(*shingle_hashes(*bytes_of(table.column("text"))))
-    n = len(ids)
+    row, elem, weight = (np.concatenate(x) for x in zip(*_bags(table.column("text")), strict=True))
+    n = len(up)
     total = np.bincount(row, weights=weight, minlength=n)
     at = np.searchsorted(row, np.arange(n + 1))
-    up, a, b = np.arange(n), [], []
+    a, b = [], []
 
     def similar(c: int, some: np.ndarray) -> np.ndarray:
         mine, count = elem[at[c] : at[c + 1]], weight[at[c] : at[c + 1]]
@@ -197,76 +222,204 @@ def _overlapping(table: pa.Table) -> Iterator[pa.RecordBatch]:
         overlap = np.bincount(row[take], weights=shared, minlength=n)[some]
         return some[overlap >= SIMILARITY * (total[some] + total[c] - overlap) - 1e-9]
 
-    for c in np.flatnonzero(own == ci):
-        open_ = (own == cj) & (up != up[c])
-        if ci == cj:
-            open_[: c + 1] = False
-        open_ &= np.minimum(total, total[c]) >= SIMILARITY * np.maximum(total, total[c]) - 1e-9
-        some = np.flatnonzero(open_)
+    for k, c in enumerate(left):
+        others = left[k + 1 :] if right is None else right
+        some = others[(up[others] != up[c]) & (np.minimum(total[others], total[c]) >= SIMILARITY * np.maximum(total[others], total[c]) - 1e-9)]
         first = np.unique(up[some], return_index=True)[1]
         for tried in (some[first], np.delete(some, first)):
             tried = tried[up[tried] != up[c]]
             hit = similar(c, tried) if len(tried) else tried
             for h in hit[np.unique(up[hit], return_index=True)[1]]:
-                a.append(ids[c])
-                b.append(ids[h])
+                a.append(int(c))
+                b.append(int(h))
             if len(hit):
                 joined = np.isin(up, np.append(up[hit], up[c]))
                 up[joined] = up[joined].min()
+    return a, b, up
+
+
+def _bags(texts: pa.ChunkedArray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, shingle, count) of the texts, a slice at a time."""
+    yield np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, np.int64)
+    for begin, _, raw, at in slices(texts):
+        row, elem, weight = counted(*shingle_hashes(raw, at))
+        yield row + begin, elem, weight
+
+
+def _edges(ids: np.ndarray, a: list[int], b: list[int], labels: np.ndarray | None = None, root: int = 0) -> pa.RecordBatch:
+    """Rows (kind 0: a pair that was compared; kind 1: a node and the smallest node of its component, in the group root)."""
+    kind = np.concatenate((np.zeros(len(a), np.int32), np.ones(0 if labels is None else len(ids), np.int32)))
+    x = np.concatenate((ids[a], ids if labels is not None else ids[:0])).astype(np.int64)
+    y = np.concatenate((ids[b], labels if labels is not None else ids[:0])).astype(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(x), pa.array(y), pa.array(np.full(len(x), root, np.int64))], names=["kind", "a", "b", "root"])
+
+
+_EDGES = "kind int, a bigint, b bigint, root bigint"
+
+
+def _in_chunk(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """The pairs that join the documents of a chunk and the group's leader, which is in each chunk, and the components that they make."""
+    table = table.sort_by("node")
+    ids, root = table.column("node").to_numpy(), table.column("root")[0].as_py()
+    everyone = np.arange(len(ids))
+    everyone = np.append(everyone[ids == root], everyone[ids != root])  # the leader first
+    a, b, up = _joined(table, np.arange(len(ids)), everyone)
+    low = np.full(len(ids), np.iinfo(np.int64).max)
+    np.minimum.at(low, up, ids)
+    lead = up == up[everyone[0]] if ids[everyone[0]] == root else np.zeros(len(ids), bool)
+    yield _edges(ids, a, b, np.where(lead, root, low[up]), root)
+
+
+def _left_over(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """The pairs that join left-over documents (side 0) with others (side 1); label is the component that a document is in so far."""
+    table = table.sort_by([("node", "ascending"), ("side", "ascending")])
+    ids, side = table.column("node").to_numpy(), table.column("side").to_numpy()
+    up = np.unique(table.column("label").to_numpy(), return_inverse=True)[1]
+    a, b, _ = _joined(table, up.astype(np.int64), np.flatnonzero(side == 0), np.flatnonzero(side == 1))
     if a:
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        yield _edges(ids, a, b)
+
+
+def _against_all(rest: DataFrame, everyone: DataFrame, key: str, own: Column, chunks: Column, rest_chunks: Column) -> DataFrame:
+    """Gives each left-over row (side 0) to the chunks of all rows of its key, and each row (side 1) to those of the left-over ones: rc, ac."""
+    upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    left = rest.withColumn("side", F.lit(0)).withColumn("rc", F.pmod(own, rest_chunks).cast("int")).withColumn("ac", upto(chunks))
+    right = everyone.withColumn("side", F.lit(1)).withColumn("ac", F.pmod(own, chunks).cast("int")).withColumn("rc", upto(rest_chunks))
+    return left.unionByName(right)
+
+
+def _candidates(work: Workspace, reps: DataFrame, keyed: DataFrame, name: str, deep: bool = True) -> list[DataFrame]:
+    """Tables of edges (a, b) that join the nodes of each bucket of keyed(node, key) that agree in enough registers."""
+    buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("b"), F.max("node").alias("node")).where("n > 1")
+    buckets = work.keep(buckets, f"{name}-buckets")
+    rows, larger = buckets.agg(F.sum("n"), F.sum(F.when(F.col("n") > 2, F.col("n")))).first()
+    if not rows:
+        return []
+    # every member beside the leader; a bucket of two is a pair
+    members = buckets.where("n = 2").dropDuplicates(["node", "b"]).select("key", "n", "b", "node")
+    if larger:
+        others = attach(keyed, buckets.where("n > 2").select("key", "n", "b"), ["key"], larger).where("node <> b")
+        members = members.unionByName(others.select("key", "n", "b", "node"))
+    # a leader may have very many members, so leaders' signatures are joined as those of hot keys are
+    members = work.keep(members, f"{name}-members")
+    leaders = members.groupBy("b").agg(F.count("*").alias("m")).join(reps.select(F.col("node").alias("b"), F.col("sig").alias("y")), "b")
+    leaders = work.keep(leaders, f"{name}-leaders")
+    paired = attach(members, leaders, ["b"], members.count(), "m").join(reps.select("node", F.col("sig").alias("x")), "node")
+    told = work.keep(_told(paired), f"{name}-told")
+    found = [told.where("same").select(F.col("node").alias("a"), "b").distinct()]
+    # the left-over ones beside all members
+    rest = told.where("not same and n > 2")
+    counts = rest.groupBy("key").agg(F.max("n").alias("n"), F.count("*").alias("m"))
+    counts = work.keep(counts, f"{name}-counts")
+    size = counts.agg(F.sum("n"), F.max(F.when(F.col("n") > DEEP_BUCKET, F.col("n")))).first()
+    if not size[0]:
+        return found
+    if size[1] and deep:
+        # these share a bucket by chance for the most part, so a second band is asked for
+        large = counts.where(F.col("n") > DEEP_BUCKET)
+        again = attach(keyed, large.select("key", "n"), ["key"], size[0]).join(reps.select("node", "bands"), "node")
+        again = again.select("node", "key", F.explode("bands").alias("other")).where("other <> key")
+        again = work.keep(again.select("node", F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key")), f"{name}-deeper")
+        found += _candidates(work, reps, again, f"{name}-deep", deep=False)
+        counts = counts.where(F.col("n") <= DEEP_BUCKET)
+    everyone = attach(keyed, counts.select("key", "n", "m"), ["key"], size[0])
+    left = attach(rest.select("key", "node"), counts.select("key", "n", "m"), ["key"], size[0])
+    met = _against_all(left, everyone, "key", F.xxhash64("node"), chunks_of(BUCKET_CHUNK), chunks_of(BUCKET_CHUNK, "m"))
+    met = met.join(reps.select("node", "sig"), "node").select("key", "rc", "ac", "side", "node", "sig")
+    return [*found, by_run(met, ["key", "rc", "ac"], _agreeing, "a bigint, b bigint")]
+
+
+def _links(work: Workspace, docs: DataFrame, groups: DataFrame, texts: DataFrame, repeated: bool) -> DataFrame:
+    """(a, b) pairs of nodes of groups(id, root) whose multisets overlap by SIMILARITY: enough of them to join all that links reach.
+
+    repeated says that some text stands in several rows of one id, of which one is taken.
+    """
+    sized = groups.withColumnRenamed("id", "node").join(texts.select("node", F.col("rep").alias("doc_id"), "bytes"), "node")
+    sized = work.keep(sized, "sized")
+    sizes = work.keep(sized.groupBy("root").agg(F.count("*").alias("n"), F.sum("bytes").alias("size")), "sizes")
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    chunks = chunks_of(GROUP_CHUNK, "n", "size", CHUNK_BYTES)
+    placed = attach(sized, sizes.withColumn("chunks", chunks), ["root"], total)
+    own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    # the leader is in every chunk
+    placed = placed.withColumn("c", F.explode(F.when(F.col("node") == F.col("root"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(own))))
+    with_text = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), _node(F.col("text")).alias("node"), "text")
+
+    def brought(to: DataFrame) -> DataFrame:
+        """The text of each node of to, once, and each of the places that it goes to."""
+        rows = join_small(with_text, to, ["doc_id", "node"], to.count())
+        return (rows.dropDuplicates(["doc_id", "node"]) if repeated else rows).select("node", "text", F.explode("to").alias("to")).select("node", "text", "to.*")
+
+    once = placed.groupBy("doc_id", "node").agg(F.collect_set(F.struct("root", "c")).alias("to"))
+    once = work.keep(once, "once")
+    found = work.keep(by_run(brought(once), ["root", "c"], _in_chunk, _EDGES), "in-chunk")
+    # groups that are one component by now are done; of the others all that isn't with the leader meets all members
+    labels = found.where("kind = 1").select("root", F.col("a").alias("node"), F.col("b").alias("label")).distinct()
+    open_ = sizes.where(chunks > 1).join(labels.where("label <> root").groupBy("root").agg(F.count("*").alias("m")), "root").withColumn("chunks", chunks)
+    open_ = work.keep(open_, "open")
+    rows = open_.agg(F.sum("n")).first()[0] or 0
+    pairs = found.where("kind = 0").select("a", "b")
+    if not rows:
+        return pairs
+    members = attach(labels, open_.select("root", "n", "m", "chunks"), ["root"], rows)
+    members = work.keep(members.join(texts.select("node", F.col("rep").alias("doc_id")), "node"), "members")
+    met = _against_all(members.where("label <> root"), members, "root", F.xxhash64("node"), F.col("chunks"), F.least(F.col("m"), F.greatest(F.lit(1), F.ceil(F.col("m") * F.col("chunks") / F.col("n")))).cast("int"))
+    met = work.keep(met.groupBy("doc_id", "node").agg(F.collect_set(F.struct("root", "rc", "ac", "side", "label")).alias("to")), "met")
+    more = by_run(brought(met), ["root", "rc", "ac"], _left_over, _EDGES)
+    return pairs.unionByName(work.keep(more, "left-over").select("a", "b"))
 
 
 def _classes(docs: DataFrame, work: Workspace) -> DataFrame:
-    """doc_id, node, root (a node of the class), class_id of each text with a word, once for each id that it has."""
+    """doc_id, node, root (a node of the class), class_id, linked_to of each text with a word, once for each id that it has."""
     signed = work.keep(_signed(docs.select("doc_id", "text")), "signed")
-    texts = work.keep(signed.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "texts")
+    texts = work.keep(signed.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.max("bytes").alias("bytes")), "texts")
     total = texts.agg(F.sum("n")).first()[0] or 0
-    reps = work.keep(
-        signed.join(texts.select("node", F.col("rep").alias("doc_id")), ["node", "doc_id"]).select("node", "sig", "bands").dropDuplicates(["node"]), "reps"
-    )
-    keyed = reps.select("node", F.explode("bands").alias("key"))
-    buckets = work.keep(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("b")).where("n > 1"), "buckets")
-
-    # a bucket of two is a pair; larger ones are looked at in tasks of two chunks
-    same = F.udf(lambda x, y: sum(map(int.__eq__, x, y)) >= FLOOR * REGISTERS, "boolean", useArrow=True)
-    pairs = buckets.where("n = 2").select("a", "b").distinct()
-    pairs = pairs.join(reps.select(F.col("node").alias("a"), F.col("sig").alias("x")), "a").join(reps.select(F.col("node").alias("b"), F.col("sig").alias("y")), "b")
-    larger = work.keep(buckets.where("n > 2").select("key", "n"), "larger")
-    in_larger = larger.agg(F.sum("n")).first()[0] or 0
-    members = attach(keyed, larger, ["key"], in_larger)
-    members = chunked(members, "node", BUCKET_CHUNK).join(reps.select("node", "sig"), "node")
-    stars_ = by_run(members.select("key", "ci", "cj", "own", "node", "sig"), ["key", "ci", "cj"], _agreeing, "a bigint, b bigint")
-    candidates = connected_components(work, pairs.where(same("x", "y")).select("a", "b").unionByName(stars_), "candidates")
-
-    groups = work.keep(candidates, "groups")
-    sizes = work.keep(groups.groupBy("root").agg(F.count("*").alias("n")), "sizes")
-    in_groups = sizes.agg(F.sum("n")).first()[0] or 0
-    placed = chunked(attach(groups, sizes, ["root"], in_groups).withColumnRenamed("id", "node"), "node", GROUP_CHUNK)
-    placed = work.keep(placed.join(texts.select("node", F.col("rep").alias("doc_id")), "node").select("doc_id", "node", "root", "ci", "cj", "own"), "placed")
-    own = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), _node(F.col("text")).alias("node"), "text")
-    taken = join_small(own, placed, ["doc_id", "node"], placed.count())
-    links = by_run(taken.select("root", "ci", "cj", "own", "node", "text"), ["root", "ci", "cj"], _overlapping, "a bigint, b bigint")
-    linked = work.keep(connected_components(work, links, "links").withColumnRenamed("id", "node").join(texts.select("node", "rep"), "node"), "linked")
-
-    # a class has the smallest id of all its texts
-    tops = work.keep(linked.groupBy("root").agg(F.min("rep").alias("top"), F.count("*").alias("n")), "tops")
-    topped = attach(linked.select("node", "root"), tops, ["root"], tops.agg(F.sum("n")).first()[0] or 0).select("node", "root", "top")
-    named = texts.join(topped, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"), F.coalesce("top", "rep").alias("class_id"))
+    reps = signed.join(texts.select("node", F.col("rep").alias("doc_id")), ["node", "doc_id"])
+    reps = work.keep(reps.groupBy("node").agg(F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.count("*").alias("copies")), "reps")
+    found = _candidates(work, reps, reps.select("node", F.explode("bands").alias("key")), "band")
+    if not found:
+        work.only("signed", "texts")
+        named = texts.select("node", "n", F.col("node").alias("root"), F.col("rep").alias("class_id"), "rep", F.lit(None).cast("bigint").alias("partner"))
+    else:
+        edges = found[0]
+        for more in found[1:]:
+            edges = edges.unionByName(more)
+        groups = work.keep(connected_components(work, edges, "candidates"), "groups")
+        repeated = (reps.agg(F.max("copies")).first()[0] or 0) > 1
+        work.only("signed", "texts", "groups")
+        links = work.keep(_links(work, docs, groups, texts, repeated), "links")
+        linked = work.keep(connected_components(work, links, "linked").withColumnRenamed("id", "node").join(texts.select("node", "rep"), "node"), "linked-reps")
+        # a class has the smallest id of all its texts
+        tops = work.keep(linked.groupBy("root").agg(F.min("rep").alias("top"), F.count("*").alias("n")), "tops")
+        topped = attach(linked.select("node", "root"), tops, ["root"], tops.agg(F.sum("n")).first()[0] or 0).select("node", "root", "top")
+        reps_of = linked.select(F.col("node").alias("b"), "rep")
+        both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        partners = both.join(reps_of, "b").groupBy(F.col("a").alias("node")).agg(F.min("rep").alias("partner"))
+        named = texts.join(topped, "node", "left").join(partners, "node", "left")
+        named = named.select("node", "n", F.coalesce("root", "node").alias("root"), F.coalesce("top", "rep").alias("class_id"), "rep", "partner")
     named = work.keep(named, "named")
-    return attach(signed.select("doc_id", "node"), named, ["node"], total).select("doc_id", "node", "root", "class_id").distinct()
+    work.only("signed", "named")
+    out = attach(signed.select("doc_id", "node"), named, ["node"], total)
+    link = F.when(F.col("doc_id") != F.col("rep"), F.col("rep")).otherwise(F.col("partner"))
+    return out.select("doc_id", "node", "root", "class_id", link.alias("linked_to")).distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, with_links: bool = False) -> DataFrame:
     """doc_id, class_id: the smallest doc_id that links of similarity >= SIMILARITY reach, for each row of docs.
 
     Equal texts are one node. Texts with one to four words have one shingle of them all; null texts
     and texts without words link with nothing, equal ones included. Rows that share a doc_id are
-    classed by their texts. Null ids give a null class. Only doc_id and text are read.
+    classed by their texts. Null ids give a null class. Texts of any length are taken whole: a task
+    holds two chunks of about CHUNK_BYTES, or a single longer text each. Only doc_id and text are
+    read, whatever other columns are called; an empty table gives an empty one.
+
+    With with_links there is also linked_to: the smallest doc_id of an equal text, or else the smallest
+    one among the texts that this text was compared with and joined to; null where it is alone.
     """
     known = _classes(docs, Workspace(docs.sparkSession, "near-duplicates")).drop("root")
     rows = docs.select(F.col("doc_id").cast("bigint"), _node(F.col("text")).alias("node"))
-    return rows.join(known.hint("merge"), ["doc_id", "node"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    out = rows.join(known.hint("merge"), ["doc_id", "node"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), "linked_to")
+    return out if with_links else out.drop("linked_to")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
@@ -277,6 +430,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     work = Workspace(docs.sparkSession, "one-of-each")
     id_, node = "__doc_id", "__node"
     classes = work.keep(_classes(docs, work), "classes")
+    work.only("classes")
     # of the texts that have their class's id, the one with the smallest node stays
     own = work.keep(classes.where("doc_id = class_id").groupBy("root").agg(F.min("node").alias("first"), F.count("*").alias("n")), "own")
     others = classes.where("doc_id = class_id").join(own.where("n > 1").select("root", "first"), "root").where("node <> first")

@@ -20,25 +20,26 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import Workspace, released
 from .shingles import bytes_of, counted, mix, shingle_hashes, slices
 
 CONTAINMENT = 0.8
-#: Items searched for at a time; more are taken in blocks of this many, each a pass over the documents.
-BLOCK_ITEMS = 50_000
+#: Items and bytes of their texts that are searched for in one pass over the documents; more take further passes.
+BLOCK_ITEMS, BLOCK_BYTES = 50_000, 32 << 20
 
 
 @dataclass
 class Index:
     """The items of one block: their shingle sets, and the sketches' values with the items that have them."""
 
-    ids: np.ndarray
+    ids: list[int | None]
     at: np.ndarray
     shingles: np.ndarray
     sketch: np.ndarray
     owner: np.ndarray
 
 
-def build_index(ids: list[int], texts: list[str]) -> Index:
+def build_index(ids: list[int | None], texts: list[str]) -> Index:
     row, shingle, _ = counted(*shingle_hashes(*bytes_of(pa.array(texts, pa.string()))))
     sizes = np.bincount(row, minlength=len(ids))
     at = np.concatenate(([0], np.cumsum(sizes)))
@@ -53,11 +54,11 @@ def build_index(ids: list[int], texts: list[str]) -> Index:
     sketch = np.concatenate(values) if values else np.zeros(0, np.uint64)
     owner = np.concatenate(owners) if owners else np.zeros(0, np.int64)
     order = np.argsort(sketch, kind="stable")
-    return Index(np.array(ids, np.int64), at, shingle, sketch[order], owner[order])
+    return Index(list(ids), at, shingle, sketch[order], owner[order])
 
 
 def search(index: Index, texts: pa.Array) -> Iterator[list[dict]]:
-    """For each text the items that it contains, by item_id."""
+    """For each text the items that it contains, by item_id (null first)."""
     values = np.unique(index.sketch)
     for begin, end, raw, at in slices(texts):
         hashes, shingle_at = shingle_hashes(raw, at)
@@ -65,61 +66,75 @@ def search(index: Index, texts: pa.Array) -> Iterator[list[dict]]:
         if len(values) and len(hashes):
             place = np.minimum(np.searchsorted(values, hashes), len(values) - 1)
             met = np.flatnonzero(values[place] == hashes)
+            # places rise, so each document's are together
             doc = np.searchsorted(shingle_at, met, "right") - 1
-            for d in np.unique(doc):
+            first = np.flatnonzero(np.diff(doc, prepend=-1))
+            for a, b in zip(first.tolist(), [*first[1:].tolist(), len(doc)], strict=False):
+                d = int(doc[a])
                 own = np.unique(hashes[shingle_at[d] : shingle_at[d + 1]])
-                keys = np.unique(hashes[met[doc == d]])
+                keys = np.unique(hashes[met[a:b]])
                 items = {int(i) for k in keys for i in index.owner[np.searchsorted(index.sketch, k) : np.searchsorted(index.sketch, k, "right")]}
                 for i in items:
                     item = index.shingles[index.at[i] : index.at[i + 1]]
                     spot = np.minimum(np.searchsorted(own, item), len(own) - 1)
                     share = float((own[spot] == item).mean())
                     if share >= CONTAINMENT - 1e-9:
-                        out[d].append({"item_id": int(index.ids[i]), "containment": share})
-                out[d].sort(key=lambda x: x["item_id"])
+                        out[d].append({"item_id": index.ids[i], "containment": share})
+                out[d].sort(key=lambda x: (x["item_id"] is not None, x["item_id"] or 0))
         yield from out
 
 
-def leaks(text: Column | str, items: DataFrame) -> Column:
-    """array<struct<item_id, containment>> of each whole text: the items (item_id, text) that it contains by CONTAINMENT.
+def blocks(items: DataFrame) -> Iterator[tuple[list[int | None], list[str]]]:
+    """The ids and texts of items, at most BLOCK_ITEMS of them and about BLOCK_BYTES of text at a time."""
+    ids, texts, size = [], [], 0
+    rows = items.where("text is not null").select(F.col("item_id").cast("bigint"), "text").orderBy("item_id", "text")
+    for item_id, text in rows.toLocalIterator():
+        ids.append(item_id)
+        texts.append(text)
+        size += len(text.encode())
+        if len(ids) >= BLOCK_ITEMS or size >= BLOCK_BYTES:
+            yield ids, texts
+            ids, texts, size = [], [], 0
+    if ids:
+        yield ids, texts
 
-    The items are fixed test sets, far smaller than the corpus; they are read in blocks of
-    BLOCK_ITEMS, so what is sent to the tasks is bounded however many there are. Items or documents
-    of one to four words have one shingle of them all; null texts and texts without words contain
-    nothing and are contained nowhere. Items that share an id are each looked for.
-    """
-    kind = "array<struct<item_id: bigint, containment: double>>"
-    found: list[Column] = []
-    block: tuple[list[int], list[str]] = ([], [])
-
-    def ask(ids: list[int], texts: list[str]) -> Column:
-        index = build_index(ids, texts)
 
-        @F.arrow_udf(kind)
-        def contained(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            for part in batches:
-                yield pa.array(list(search(index, part)), pa.list_(pa.struct([("item_id", pa.int64()), ("containment", pa.float64())])))
+def leaks(text: Column | str, ids: list[int | None], texts: list[str]) -> Column:
+    """array<struct<item_id, containment>> of each whole text: the items of one block that it contains by CONTAINMENT."""
+    index = build_index(ids, texts)
 
-        return contained(text)
+    @F.arrow_udf("array<struct<item_id: bigint, containment: double>>")
+    def contained(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in released(batches):
+            yield pa.array(list(search(index, part)), pa.list_(pa.struct([("item_id", pa.int64()), ("containment", pa.float64())])))
 
-    for r in items.where("text is not null").select(F.col("item_id").cast("bigint"), "text").orderBy("item_id", "text").toLocalIterator():
-        block[0].append(r[0] if r[0] is not None else -1)
-        block[1].append(r[1])
-        if len(block[0]) == BLOCK_ITEMS:
-            found.append(ask(*block))
-            block = ([], [])
-    if block[0] or not found:
-        found.append(ask(*block))
-    return F.concat(*found) if len(found) > 1 else found[0]
+    return contained(text)
 
 
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, item_id, containment: a row for each document row and item that it contains."""
-    own = docs.select("doc_id", leaks("text", items).alias("leaks"))
-    return own.select("doc_id", F.explode("leaks").alias("x")).select("doc_id", "x.item_id", "x.containment")
+    """doc_id, item_id, containment: a row for each document row and item (item_id, text) that it contains.
+
+    The items are fixed test sets. They are searched for in blocks of counted rows and bytes; each
+    block is a pass over the documents of its own, so a task is sent one block however many there are.
+    Items or documents of one to four words have one shingle of them all; null texts and texts without
+    words contain nothing and are contained nowhere. Items that share an id are each looked for, and a
+    null item_id stays null. Repeated rows and ties give a row each; other columns aren't read, and
+    either table may be empty.
+    """
+    own, found = docs.select("doc_id", "text"), None
+    for ids, texts in blocks(items):
+        rows = own.select("doc_id", F.explode(leaks("text", ids, texts)).alias("x")).select("doc_id", "x.item_id", "x.containment")
+        found = rows if found is None else found.unionByName(rows)
+    return own.limit(0).select("doc_id", F.lit(None).cast("bigint").alias("item_id"), F.lit(None).cast("double").alias("containment")) if found is None else found
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs that contain no item."""
-    mark = "__leaks"
-    return docs.withColumn(mark, leaks("text", items)).where(F.size(mark) == 0).drop(mark)
+    """The rows of docs that contain no item, with all columns of docs. Further blocks of items pass over what the blocks before have left."""
+    mark, work = "__leaks", None
+    for k, (ids, texts) in enumerate(blocks(items)):
+        if k:
+            work = work or Workspace(docs.sparkSession, "clean")
+            docs = work.keep(docs, f"block-{k}")
+            work.only(f"block-{k}")
+        docs = docs.withColumn(mark, leaks("text", ids, texts)).where(F.size(mark) == 0).drop(mark)
+    return docs

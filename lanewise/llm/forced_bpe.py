@@ -4,8 +4,8 @@ A merge can join two neighbouring bytes only if some token holds them side by si
 no token holds inside are therefore certain cuts: what stands left and right of one is encoded
 independently, and the ids are concatenated. White space is such a cut wherever it stands (no token
 has it inside), and so is a word's end mark; inside words the table of pairs from the vocabulary
-decides. Pieces between white space recur, so each distinct one is cut and encoded once per worker
-and looked up afterwards.
+decides. Pieces between white space recur, so each distinct one is cut and encoded once per task
+and looked up afterwards, in tables whose bytes are bounded and which a task's end empties.
 
 Null texts count as empty: no ids, and the empty text decoded. Texts of any length are taken whole.
 """
@@ -19,14 +19,29 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A worker forgets its pieces when it holds this many or this many characters of them.
-CACHE_PIECES, CACHE_CHARS = 600_000, 24_000_000
-#: Rows are taken in slices of about this many characters.
-SLICE_CHARS = 2_000_000
+from .shared import released
+
+#: A table of known pieces is emptied when its keys and ids take about this many bytes; KEY_BYTES is what a key takes besides its letters.
+CACHE_BYTES, KEY_BYTES = 24 << 20, 150
+#: Rows are taken in slices of about this many bytes; a longer text is encoded in parts of as many characters, cut at white space.
+SLICE_BYTES = 1 << 19
+#: The normaliser and the splitter that this encoder reproduces; a file with others is refused.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+WORD_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": WORD_PATTERN}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+#: Words in a text that the library is given, and the sign between fragments, which is in no vocabulary.
+JOINED, BETWEEN = 500, "\ue000"
 _INFO = regex.compile("[\x1c-\x1f]")
 _LATIN = regex.compile("[\x00-ɏ]*")
 
@@ -59,11 +74,11 @@ class Known:
         self.clear()
 
     def clear(self) -> None:
-        self.slots, self.pool, self.chars = _Slots(), np.zeros(0, np.uint32), 0
+        self.slots, self.pool, self.bytes = _Slots(), np.zeros(0, np.uint32), 0
         self.start, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def full(self) -> bool:
-        return len(self.slots) > CACHE_PIECES or self.chars > CACHE_CHARS
+        return self.bytes > CACHE_BYTES
 
     def look_up(self, keys: list[str]) -> Ids:
         """All ids of the keys in order, and their number for each key."""
@@ -73,7 +88,7 @@ class Known:
             self.start = np.concatenate((self.start, len(self.pool) + np.cumsum(more) - more))
             self.length = np.concatenate((self.length, more))
             self.pool = np.concatenate((self.pool, ids))
-            self.chars += sum(map(len, new))
+            self.bytes += sum(map(len, new)) + KEY_BYTES * len(new) + 4 * len(ids)
             self.slots.new = []
         lengths = self.length[slot]
         return self.pool[ragged(self.start[slot], lengths)], lengths
@@ -90,16 +105,27 @@ def split(text: str) -> list[str]:
 
 
 def text_slices(texts: pa.Array) -> Iterator[list[str]]:
-    """The rows as lists of about SLICE_CHARS characters, null as empty."""
-    rows, chars = [], 0
-    for t in texts.to_pylist():
-        rows.append(t or "")
-        chars += len(rows[-1])
-        if chars >= SLICE_CHARS:
-            yield rows
-            rows, chars = [], 0
-    if rows:
-        yield rows
+    """The rows as lists of about SLICE_BYTES bytes, null as empty; rows are turned into Python texts a slice at a time."""
+    texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0), np.int64))
+    begin = 0
+    while begin < len(texts):
+        before = ends[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, before + SLICE_BYTES, "right")))
+        yield [t or "" for t in texts.slice(begin, end - begin).to_pylist()]
+        begin = end
+
+
+def parts(text: str, size: int = 0) -> Iterator[str]:
+    """The text in parts of about size characters, each but the last ending where white space begins."""
+    size, begin = size or SLICE_BYTES, 0
+    while len(text) - begin > size:
+        spots = [x for c in " \n" if (x := text.find(c, begin + size)) >= 0]
+        if not spots:
+            break
+        yield text[begin : min(spots)]
+        begin = min(spots)
+    yield text[begin:]
 
 
 class ForcedBoundary:
@@ -110,19 +136,29 @@ class ForcedBoundary:
 
         from tokenizers import Tokenizer
         from tokenizers.models import BPE
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
-        self.whole, vocab = Tokenizer.from_file(path), model["vocab"]
+        known = {"type": "BPE", "unk_token": None, "continuing_subword_prefix": None, "dropout": None, "byte_fallback": False, "ignore_merges": False}
+        if spec["normalizer"] != NORMALIZER or spec["pre_tokenizer"] != SPLITTER or any(model.get(k, v) != v for k, v in known.items()) or not model.get("end_of_word_suffix"):
+            raise ValueError(f"{path} has another normaliser, splitter or model than this encoder reproduces")
+        if spec.get("decoder") is not None or any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
+            raise ValueError(f"{path} has a decoder or added tokens of another kind than this encoder reproduces")
+        whole, vocab = Tokenizer.from_file(path), model["vocab"]
+        self.normalizer, self.splitter = whole.normalizer, whole.pre_tokenizer
         self.suffix = model["end_of_word_suffix"]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.last = Tokenizer(BPE(vocab, merges, end_of_word_suffix=self.suffix))
-        self.inner = Tokenizer(BPE(vocab, merges))
+        self.between = max(vocab.values()) + 1
+        self.inner = Tokenizer(BPE(vocab | {BETWEEN: self.between}, merges))
+        self.last.pre_tokenizer = self.inner.pre_tokenizer = WhitespaceSplit()
+        self.ends = np.zeros(self.between + 1, bool)
+        self.ends[[i for token, i in vocab.items() if token.endswith(self.suffix)]] = True
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_cut = regex.compile("(" + "|".join(regex.escape(s) for s in self.special) + ")") if self.special else None
-        parts = spec["pre_tokenizer"]["pretokenizers"]
-        self.words = regex.compile("\n|" + next(p["pattern"]["Regex"] for p in parts if p["type"] == "Split"))
+        self.words = regex.compile("\n|" + WORD_PATTERN)
         self.to_marks = self._byte_marks()
         from_marks = {chr(c): b for b, c in self.to_marks.items()}
         self.held = np.zeros((256, 256), bool)
@@ -144,16 +180,30 @@ class ForcedBoundary:
         rest = [b for b in range(256) if b not in set(itself)]
         return {b: b for b in itself} | {b: 256 + i for i, b in enumerate(rest)}
 
-    def encode_marked(self, words: list[str], cuts: list[list[int]]) -> list[list[int]]:
-        """The ids of words (a character for each byte), each in fragments between its certain cuts; only the last fragment bears the word's end."""
-        tails = [w[c[-1] :] if c else w for w, c in zip(words, cuts, strict=True)]
-        out = [e.ids for e in self.last.encode_batch_fast(tails, add_special_tokens=False)]
+    @staticmethod
+    def _joined(coder, words: list[str]) -> np.ndarray:
+        """All ids of words (without white space), many in one text, since each text costs the library an object."""
+        found = coder.encode_batch_fast([" ".join(words[a : a + JOINED]) for a in range(0, len(words), JOINED)], add_special_tokens=False)
+        return np.concatenate([np.array(e.ids, np.uint32) for e in found]) if found else np.zeros(0, np.uint32)
+
+    def encode_marked(self, words: list[str], cuts: list[list[int]]) -> Ids:
+        """The ids of words (a character for each byte) and their number for each, in fragments between certain cuts.
+
+        Only a word's last fragment bears its end; so of the ids of all last fragments those that end a
+        word tell them apart, and the fragments before them are told apart by a sign of their own.
+        """
+        tails = self._joined(self.last, [w[c[-1] :] if c else w for w, c in zip(words, cuts, strict=True)])
+        many = np.diff(np.flatnonzero(self.ends[tails]), prepend=-1)
         some = [i for i, c in enumerate(cuts) if c]
-        heads = [[words[i][a:b] for a, b in zip([0, *cuts[i]], cuts[i], strict=False)] for i in some]
-        ids = iter(self.inner.encode_batch_fast([h for row in heads for h in row], add_special_tokens=False))
-        for i, row in zip(some, heads, strict=True):
-            out[i] = [x for _ in row for x in next(ids).ids] + out[i]
-        return out
+        if not some:
+            return tails, many
+        heads = self._joined(self.inner, [x for i in some for x in (*(words[i][a:b] for a, b in zip([0, *cuts[i]], cuts[i], strict=False)), BETWEEN)])
+        few = np.diff(np.flatnonzero(heads == self.between), prepend=-1) - 1
+        heads = heads[heads != self.between]
+        start, length = np.zeros((len(words), 2), np.int64), np.zeros((len(words), 2), np.int64)
+        length[some, 0], length[:, 1] = few, many
+        start[some, 0], start[:, 1] = np.cumsum(few) - few, len(heads) + np.cumsum(many) - many
+        return np.concatenate((heads, tails))[ragged(start.reshape(-1), length.reshape(-1))], length.sum(axis=1)
 
     def cuts(self, lines: bytes) -> list[list[int]]:
         """The certain cuts of the words in lines: between two bytes of a word that no token holds side by side."""
@@ -171,7 +221,7 @@ class ForcedBoundary:
         """The ids of normalised words without a line feed; a line feed alone has none."""
         lines = "\n".join(words).encode()
         if "\n" not in words:
-            return flat(self.encode_marked(lines.decode("latin-1").translate(self.to_marks).split(self.line_mark), self.cuts(lines)))
+            return self.encode_marked(lines.decode("latin-1").translate(self.to_marks).split(self.line_mark), self.cuts(lines))
         at = words.index("\n")
         ids, lengths = self.encode_words(words[:at] + words[at + 1 :]) if len(words) > 1 else flat([])
         return ids, np.insert(lengths, at, 0)
@@ -189,10 +239,10 @@ class ForcedBoundary:
         for part in self.special_cut.split(piece) if self.special_cut else [piece]:
             if part in self.special:
                 out.append(self.special[part])
-            elif words := [w for w, _ in self.whole.pre_tokenizer.pre_tokenize_str(self.whole.normalizer.normalize_str(part))]:
+            elif words := [w for w, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(part))]:
                 back = {c: b for b, c in self.to_marks.items()}
                 lines = [bytes(back[ord(c)] for c in w) for w in words]
-                out += [x for ids in self.encode_marked(words, [self.cuts(line)[0] for line in lines]) for x in ids]
+                out += self.encode_marked(words, [self.cuts(line)[0] for line in lines])[0].tolist()
         return out
 
     def encode_pieces(self, pieces: list[str]) -> Ids:
@@ -212,6 +262,12 @@ class ForcedBoundary:
 
     def encode(self, texts: list[str]) -> Ids:
         """All ids of the texts, and the row offsets."""
+        if len(texts) == 1 and len(texts[0]) > SLICE_BYTES:
+            ids = np.concatenate([self._encode([p])[0] for p in parts(texts[0])])
+            return ids, np.array([0, len(ids)])
+        return self._encode(texts)
+
+    def _encode(self, texts: list[str]) -> Ids:
         for known in (self.known_pieces, self.known_words):
             if known.full():
                 known.clear()
@@ -220,6 +276,11 @@ class ForcedBoundary:
         pieces = np.cumsum([0, *map(len, rows)])
         return ids, np.concatenate(([0], np.cumsum(lengths)))[pieces]
 
+    def forget(self) -> None:
+        """Empties the tables of known pieces; they are filled anew by the next task."""
+        self.known_pieces.clear()
+        self.known_words.clear()
+
     def decode(self, ids: np.ndarray) -> bytes:
         """The UTF-8 text that the library decodes the ids to: the tokens as they stand, joined by blanks."""
         if not len(ids):
@@ -237,10 +298,10 @@ def encode_column(text: Column | str, path: str) -> Column:
 
     @F.arrow_udf("array<int>")
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            parts = [forced_boundary(path).encode(rows) for rows in text_slices(texts)]
-            ids = np.concatenate([p[0] for p in parts] or [np.zeros(0, np.uint32)]).astype(np.int32)
-            sizes = np.concatenate([np.diff(p[1]) for p in parts] or [np.zeros(0, np.int64)])
+        for texts in released(batches, lambda: forced_boundary(path).forget()):
+            found = [forced_boundary(path).encode(rows) for rows in text_slices(texts)]
+            ids = np.concatenate([p[0] for p in found] or [np.zeros(0, np.uint32)]).astype(np.int32)
+            sizes = np.concatenate([np.diff(p[1]) for p in found] or [np.zeros(0, np.int64)])
             yield pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(ids))
 
     return encoded(text)
@@ -267,7 +328,7 @@ def round_trip(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = forced_boundary(path)
-        for batch in batches:
+        for batch in released(batches, coder.forget):
             at = 0
             for rows in text_slices(batch.column(1)):
                 ids, ends = coder.encode(rows)

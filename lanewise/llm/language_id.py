@@ -22,20 +22,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .forced_bpe import text_slices
+from .shared import released
 from .shingles import mix
 
 DIM = 1024
 #: The sample: the BUCKETS classes of each language's documents give up to PER_BUCKET documents each.
 BUCKETS, PER_BUCKET = 32, 12
-#: n-gram vectors made at a time.
-GRAMS = 4096
+#: n-gram vectors made at a time, and texts whose counts of them are held at a time.
+GRAMS, ROWS = 2048, 640
 UNKNOWN = "und"
 _SCALE = 10_000
 
 
 @lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
-    return np.array([unicodedata.category(chr(c))[0] == "L" for c in range(0x110000)])
+    return np.fromiter((unicodedata.category(chr(c))[0] == "L" for c in range(0x110000)), bool, 0x110000)
 
 
 def letter_vectors(points: np.ndarray) -> np.ndarray:
@@ -45,8 +46,26 @@ def letter_vectors(points: np.ndarray) -> np.ndarray:
     return bits.astype(np.float32) * 2 - 1
 
 
+def _bundled(out: np.ndarray, row: np.ndarray, gram: np.ndarray, vectors: np.ndarray) -> None:
+    """Adds the vectors of the grams to the rows of out: as a product of a table of counts where that is dense, gram by gram otherwise."""
+    n = len(vectors)
+    counts = np.bincount(row * n + gram, minlength=len(out) * n)
+    pair = np.flatnonzero(counts)
+    if len(pair) * 64 >= len(counts):
+        out += counts.astype(np.float32).reshape(len(out), n) @ vectors
+        return
+    for a in range(0, len(pair), GRAMS):
+        own, which = pair[a : a + GRAMS] // n, pair[a : a + GRAMS] % n
+        begin = np.flatnonzero(np.diff(own, prepend=-1))
+        out[own[begin]] += np.add.reduceat(vectors[which] * counts[pair[a : a + GRAMS], None].astype(np.float32), begin)
+
+
 def profiles(texts: list[str]) -> np.ndarray:
-    """The profile of each text; a row of zeros for a text without letters."""
+    """The profile of each text; a row of zeros for a text without letters. Sums are of whole numbers, so neighbours don't change them."""
+    return np.concatenate([_profiles(texts[a : a + ROWS]) for a in range(0, len(texts), ROWS)]) if texts else np.zeros((0, DIM), np.float32)
+
+
+def _profiles(texts: list[str]) -> np.ndarray:
     out = np.zeros((len(texts), DIM), np.float32)
     padded = [f" {t.lower()} " for t in texts]
     points = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -76,8 +95,7 @@ def profiles(texts: list[str]) -> np.ndarray:
         part = found[at : at + GRAMS]
         vectors = twice[part // (n * n)] * once[part // n % n] * base[part % n]
         mine = slice(None) if len(found) <= GRAMS else (gram >= at) & (gram < at + GRAMS)
-        counts = np.bincount(row[mine] * len(part) + gram[mine] - at, minlength=len(texts) * len(part)).astype(np.float32)
-        out += counts.reshape(len(texts), len(part)) @ vectors
+        _bundled(out, row[mine], gram[mine] - at, vectors)
     has = np.add.reduceat(letter, starts) > 0
     out[~has] = 0
     return out
@@ -111,7 +129,7 @@ def train(docs: DataFrame) -> dict[str, list[int]]:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in released(batches):
             langs, at = batch.column(1).to_pylist(), 0
             for rows in text_slices(batch.column(0)):
                 vectors = np.rint(unit(profiles(rows)) * _SCALE).astype(np.int64)  # whole numbers: any order gives the same sum
@@ -137,7 +155,7 @@ def predict(text: Column | str, prototypes: dict[str, list[int]]) -> Column:
     @F.arrow_udf("struct<lang_pred: string, score: double>")
     def predicted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         models = unit(np.array([prototypes[k] for k in names]).reshape(-1, DIM))
-        for texts in batches:
+        for texts in released(batches):
             langs: list[str] = []
             scores: list[float] = []
             for rows in text_slices(texts):

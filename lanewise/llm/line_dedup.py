@@ -5,11 +5,15 @@ into another one with EDITS edits, one of the other's segments stands unchanged
 follows from the lengths up to a few characters. So a line is indexed by its length and segments, and
 probes the index of each length from its own down to EDITS less with the substrings that can match,
 chosen so that segments left and right still allow the edits that remain. Lines that share a key are
-verified by a bit-parallel edit distance over a band of 2 * EDITS + 1 diagonals.
+verified by a bit-parallel edit distance over a band of 2 * EDITS + 1 diagonals, many pairs at a time:
+the band of a pair is a byte, and a step takes one character of all pairs.
 
 Lines of fewer than MIN_CHARS characters are too general to be near copies. Where short is asked for,
 equal ones are a class as well, blank ones apart; no edit join is made of them.
 
+A line is known by a 64-bit hash. A second hash shows where two lines share one, and these lines get
+ids of their own, so equal lines are those of equal 128 bits.
+
 Of a class - lines that links reach - the first occurrence by (doc_id, line) stays, all others go.
 """
 
@@ -25,18 +29,36 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .forced_bpe import text_slices
-from .shared import Forest, Workspace, attach, by_run, chunked, join_small
-from .shingles import mix, powers
+from .shared import Workspace, all_pairs, attach, by_runs, chunked, join_small, released
+from .shingles import mix
 
 EDITS = 2
 #: Shorter lines are in no edit join: they are too general to be near copies.
 MIN_CHARS = 20
-CHUNK = 1024
+#: Lines of a chunk of a key's group, and characters of a chunk; two chunks meet in a task.
+CHUNK, CHUNK_CHARS = 1024, 2 << 20
+#: Substrings of lines up to this length are hashed from sums along the line, those of longer lines one by one.
+LONG = 1 << 16
+#: Characters (with padding) of the pairs that are compared at a time, and places between two looks at which pairs are beyond EDITS.
+CELLS, LOOK = 1 << 20, 16
+#: Groups up to this size give all their pairs at once; larger ones a line at a time, past those already joined.
+SMALL_GROUP = 24
+_U = np.uint64
+
+
+def _powers(base: int) -> np.ndarray:
+    steps = np.full(LONG + 1, base, _U)
+    steps[0] = 1
+    return np.cumprod(steps, dtype=_U)
+
 
+_UP, _DOWN = _powers(0x9E3779B97F4A7C15), _powers(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
-def line_id(line: str) -> int:
-    x = xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass"))
-    return x - (1 << 64) if x >> 63 else x
+
+def line_ids(lines: list[str]) -> np.ndarray:
+    """Two 64-bit hashes of each line, as columns."""
+    digest = xxhash.xxh3_128_digest
+    return np.frombuffer(b"".join([digest(x.encode("utf-8", "surrogatepass")) for x in lines]), "<i8").reshape(-1, 2)
 
 
 def probes(edits: int = EDITS) -> list[tuple[int, int, int]]:
@@ -66,9 +88,9 @@ def line_keys(lines: list[str], edits: int = EDITS) -> tuple[np.ndarray, np.ndar
     size = np.fromiter(map(len, lines), np.int64, len(lines))
     at = np.cumsum(size) - size
     points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
-    up, down = powers(len(points) + 1)
-    sums = np.zeros(len(points) + 1, np.uint64)
-    np.cumsum(mix(points.astype(np.uint64) + np.uint64(1)) * up[: len(points)], out=sums[1:])
+    place = np.arange(len(points)) - np.repeat(at, size)
+    sums = np.zeros(len(points) + 1, _U)
+    np.cumsum(mix(points.astype(_U) + _U(1)) * _UP[np.minimum(place, LONG)], out=sums[1:])
     which, keys = [], []
     for less, i, shift in probes(edits):
         length = size - less
@@ -76,156 +98,271 @@ def line_keys(lines: list[str], edits: int = EDITS) -> tuple[np.ndarray, np.ndar
         begin = begin + shift
         some = np.flatnonzero((length > edits) & (begin >= 0) & (begin + part <= size))
         a = at[some] + begin[some]
-        text = (sums[a + part[some]] - sums[a]) * down[a]
+        text = (sums[a + part[some]] - sums[a]) * _DOWN[np.minimum(begin[some], LONG)]
+        for k in np.flatnonzero(length[some] > LONG - edits):  # by the indexed line's length, so both sides do the same
+            line, b = lines[some[k]], int(begin[some[k]])
+            text[k] = xxhash.xxh3_64_intdigest(line[b : b + int(part[some[k]])].encode("utf-8", "surrogatepass"))
         which.append(some)
-        keys.append(mix(text ^ mix(length[some].astype(np.uint64) * np.uint64(64) + np.uint64(i))).view(np.int64))
+        keys.append(mix(text ^ mix(length[some].astype(_U) * _U(64) + _U(i))).view(np.int64))
     return np.concatenate(which), np.concatenate(keys)
 
 
-def within(a: str, b: str, edits: int = EDITS) -> bool:
-    """Whether the edit distance of a and b is edits at most.
+def _padded(points: np.ndarray, at: np.ndarray, length: np.ndarray, width: int) -> np.ndarray:
+    """The ranges at + length of points as rows of a table, filled up with zeros."""
+    column = np.arange(width)
+    inside = column < length[:, None]
+    return np.where(inside, points[np.minimum(at[:, None] + column, len(points) - 1)], 0)
+
+
+def _trimmed(x: np.ndarray, y: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """How many places from the left on the rows of x and y are the same, least at most."""
+    other = x != y
+    first = other.argmax(axis=1)
+    return np.minimum(np.where(other[np.arange(len(x)), first], first, x.shape[1]), least)
 
-    Common ends are cut off. Then one machine word holds a band of 2 * edits + 1 diagonals of the
-    distance matrix as vertical differences, one column of a character of b after the other; the
-    score follows the band's lowest diagonal and then its last row.
+
+def near(points: np.ndarray, at: np.ndarray, length: np.ndarray, p: np.ndarray, q: np.ndarray, edits: int = EDITS) -> np.ndarray:
+    """For each pair of lines p and q whether their edit distance is edits at most.
+
+    Lines are ranges of points (one more than code points, so never 0). Pairs are compared in blocks of
+    pairs of similar length, CELLS places at a time.
+    """
+    out = np.zeros(len(p), bool)
+    close = np.abs(length[p] - length[q]) <= edits
+    order = np.flatnonzero(close)
+    order = order[np.argsort(np.maximum(length[p[order]], length[q[order]]), kind="stable")]
+    begin = 0
+    while begin < len(order):
+        # lengths rise, so the last pair of a block is its widest
+        end = begin + 1
+        step = max(1, CELLS // max(1, int(max(length[p[order[begin]]], length[q[order[begin]]]))))
+        end = min(len(order), begin + step)
+        widest = lambda k: int(max(length[p[order[k]]], length[q[order[k]]], 1))
+        while end - begin > 1 and (end - begin) * widest(end - 1) > 2 * CELLS:
+            end = begin + (end - begin) // 2
+        some = order[begin:end]
+        out[some] = _near(points, at[p[some]], length[p[some]], at[q[some]], length[q[some]], edits)
+        begin = end
+    return out
+
+
+def _near(points: np.ndarray, a_at: np.ndarray, a_len: np.ndarray, b_at: np.ndarray, b_len: np.ndarray, edits: int) -> np.ndarray:
+    """near for one block: common ends are cut off, and what is left passes the band."""
+    width = int(max(a_len.max(), b_len.max(), 1))
+    both = np.minimum(a_len, b_len)
+    head = _trimmed(_padded(points, a_at, a_len, width), _padded(points, b_at, b_len, width), both)
+    flip = lambda at, n: len(points) - at - n
+    back = points[::-1]
+    tail = _trimmed(_padded(back, flip(a_at, a_len), a_len, width), _padded(back, flip(b_at, b_len), b_len, width), both - head)
+    a_at, b_at, m, n = a_at + head, b_at + head, a_len - head - tail, b_len - head - tail
+    out = np.maximum(m, n) <= edits
+    left = np.flatnonzero(~out & (m > 0) & (n > 0))
+    if len(left):
+        width = int(max(m[left].max(), n[left].max()))
+        out[left] = banded(_padded(points, a_at[left], m[left], width), m[left], _padded(points, b_at[left], n[left], width), n[left], edits)
+    return out
+
+
+def banded(a: np.ndarray, m: np.ndarray, b: np.ndarray, n: np.ndarray, edits: int = EDITS) -> np.ndarray:
+    """Whether the edit distance of each pair of rows (of lengths m and n, 1 at least, that differ by edits at most) is edits at most.
+
+    One byte a pair holds a band of 2 * edits + 1 diagonals of the distance matrix as vertical
+    differences; all pairs take one column, a character of b, after the other. The score follows the
+    band's lowest diagonal and then the last row. Pairs whose whole band is beyond edits are dropped.
     """
-    if abs(len(a) - len(b)) > edits:
-        return False
-    if a == b:
-        return True
-    low, high = 0, min(len(a), len(b))
-    while low < high:
-        mid = (low + high + 1) // 2
-        if a[:mid] == b[:mid]:
-            low = mid
-        else:
-            high = mid - 1
-    a, b = a[low:], b[low:]
-    low, high = 0, min(len(a), len(b))
-    while low < high:
-        mid = (low + high + 1) // 2
-        if a[len(a) - mid :] == b[len(b) - mid :]:
-            low = mid
-        else:
-            high = mid - 1
-    a, b = a[: len(a) - low], b[: len(b) - low]
-    m, n = len(a), len(b)
-    if not m or not n:
-        return max(m, n) <= edits
     width = 2 * edits + 1
-    mask = (1 << width) - 1
-    top = 1 << (width - 1)
+    kind = np.uint8 if width <= 8 else np.uint16
+    mask, top = kind((1 << width) - 1), kind(1 << (width - 1))
+    out, who = np.zeros(len(m), bool), np.arange(len(m))
+    # rows of a from -edits on, one place after the other, so that a column's band is consecutive
+    rows = np.zeros((a.shape[1] + 4 * edits + 2, len(m)), a.dtype)
+    rows[edits : edits + a.shape[1]] = a.T
+    cols = np.ascontiguousarray(b.T)
     # bit k of the band in column j stands for row j - edits + k (rows from 1); rows before the first have no cost
-    vp, vn, score = (mask << edits) & mask, 0, min(edits, m)
-    last_row = m
-    for j in range(1, n + 1):
-        eq, c, first = 0, b[j - 1], j - edits
+    vp, vn = np.full(len(m), (int(mask) << edits) & int(mask), kind), np.zeros(len(m), kind)
+    score = np.minimum(edits, m).astype(np.int64)
+    for j in range(1, cols.shape[0] + 1):
+        first = j - edits
+        eq = np.zeros(len(who), kind)
+        c = cols[j - 1]
         for k in range(width):
-            row = first + k
-            if 1 <= row <= m and a[row - 1] == c:
-                eq |= 1 << k
+            eq |= (rows[first + k - 1 + edits] == c).astype(kind) << kind(k)
         d0 = ((((eq & vp) + vp) & mask) ^ vp) | eq | vn
         hp = vn | (~(d0 | vp) & mask)
         hn = d0 & vp
-        low_row = first + width - 1
-        if low_row <= last_row:
-            score += not d0 & top
-        else:
-            bit = 1 << (last_row - first) if last_row >= first else 0
-            score += bool(hp & bit) - bool(hn & bit)
-        vp = hn | (~((d0 >> 1) | hp) & mask)
-        vn = (d0 >> 1) & hp
-    return score <= edits
+        live = n >= j
+        low = first + width - 1 <= m
+        bit = np.where(m >= first, kind(1) << np.clip(m - first, 0, width - 1).astype(kind), kind(0)).astype(kind)
+        step = np.where(low, (d0 & top) == 0, ((hp & bit) != 0).astype(np.int64) - ((hn & bit) != 0))
+        score += np.where(live, step, 0)
+        vp = hn | (~((d0 >> kind(1)) | hp) & mask)
+        vn = (d0 >> kind(1)) & hp
+        if j % LOOK == 0 or j == cols.shape[0]:
+            done = n <= j
+            out[who[done]] = score[done] <= edits
+            # the least value of the band, from its lowest row up; a band that is cut by the last row goes on
+            value, least = score.copy(), score.copy()
+            for k in range(width - 1, 0, -1):
+                value = value - ((vp >> kind(k)) & kind(1)) + ((vn >> kind(k)) & kind(1)).astype(np.int64)
+                least = np.minimum(least, value)
+            keep = np.flatnonzero(~done & ((least <= edits) | ~low))
+            if not len(keep):
+                break
+            if len(keep) < len(who):
+                who, m, n, score, vp, vn = (x[keep] for x in (who, m, n, score, vp, vn))
+                rows, cols = rows[:, keep], cols[:, keep]
+    return out
+
+
+def within(a: str, b: str, edits: int = EDITS) -> bool:
+    """Whether the edit distance of a and b is edits at most."""
+    points, at, length = _points([a, b])
+    return bool(near(points, at, length, np.array([0]), np.array([1]), edits)[0])
+
+
+def _points(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The code points of all lines plus one, and each line's begin and length."""
+    length = np.fromiter(map(len, lines), np.int64, len(lines))
+    points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32) + np.uint32(1)
+    return np.append(points, np.uint32(0)), np.cumsum(length) - length, length
 
 
 def _lines(docs: DataFrame, short: bool) -> DataFrame:
-    """(doc_id, line, id) of each line that counts: those from MIN_CHARS on, and with short all others that are not blank."""
+    """(doc_id, line, id, check) of each line that counts: those from MIN_CHARS on, and with short all others that are not blank."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             ids, at = batch.column(0).to_pylist(), 0
             for rows in text_slices(batch.column(1)):
-                found = [(d, k, line_id(line)) for d, t in zip(ids[at:], rows, strict=False) for k, line in enumerate(t.split("\n")) if len(line) >= MIN_CHARS or short and line.strip()]
+                parts = [t.split("\n") for t in rows]
+                lines = [x for p in parts for x in p]
+                many = np.fromiter(map(len, parts), np.int64, len(parts))
+                counts = np.fromiter((len(x) >= MIN_CHARS or (short and bool(x.strip())) for x in lines), bool, len(lines))
+                place = np.arange(len(lines)) - np.repeat(np.cumsum(many) - many, many)
+                own = np.repeat(np.array(ids[at : at + len(rows)], np.int64), many)
                 at += len(rows)
-                if found:
-                    a, b, c = zip(*found, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int32()), pa.array(c, pa.int64())], names=["doc_id", "line", "id"])
+                some = np.flatnonzero(counts)
+                if len(some):
+                    known = line_ids([lines[i] for i in some.tolist()])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(own[some]), pa.array(place[some], pa.int32()), pa.array(known[:, 0]), pa.array(known[:, 1])], names=["doc_id", "line", "id", "check"]
+                    )
 
-    return docs.mapInArrow(each, "doc_id bigint, line int, id bigint")
+    return docs.mapInArrow(each, "doc_id bigint, line int, id bigint, check bigint")
 
 
 def _once(docs: DataFrame, schema: str, make) -> DataFrame:
-    """make(new lines of a slice) -> RecordBatch, for the lines of docs; lines that a task has just met are passed over."""
+    """make(two hashes, lines) -> RecordBatch, for the new lines of a slice; lines that a task has just met are passed over."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: set[int] = set()
-        for batch in batches:
+        met: set[str | int] = set()
+        for batch in released(batches):
             for rows in text_slices(batch.column(0)):
-                if len(met) > 1_000_000:
+                if len(met) > 300_000:
                     met.clear()
-                new: dict[int, str] = {}
-                for t in rows:
-                    for line in t.split("\n"):
-                        if len(line) >= MIN_CHARS and (x := line_id(line)) not in met:
-                            new.setdefault(x, line)
-                met.update(new)
+                lines = list({x: None for t in rows for x in t.split("\n") if len(x) >= MIN_CHARS})
+                if not lines:
+                    continue
+                known = line_ids(lines)
+                both = [a ^ b for a, b in known.tolist()]
+                new = [i for i, x in enumerate(both) if x not in met]
+                met.update(both)
                 if new:
-                    yield make(np.fromiter(new, np.int64, len(new)), list(new.values()))
+                    yield make(known[new], [lines[i] for i in new])
 
     return docs.select("text").mapInArrow(each, schema)
 
 
-def _keyed(ids: np.ndarray, lines: list[str]) -> pa.RecordBatch:
+def _keyed(known: np.ndarray, lines: list[str]) -> pa.RecordBatch:
     which, keys = line_keys(lines)
-    return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids[which])], names=["key", "id"])
+    return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(known[which, 0]), pa.array(known[which, 1]), pa.array(np.array(list(map(len, lines)), np.int32)[which])], names=["key", "id", "check", "chars"])
 
 
-def _named(ids: np.ndarray, lines: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(lines, pa.string())], names=["id", "line"])
+def _named(known: np.ndarray, lines: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(known[:, 0]), pa.array(known[:, 1]), pa.array(lines, pa.string())], names=["id", "check", "line"])
 
 
-def _similar(table: pa.Table) -> Iterator[pa.RecordBatch]:
-    """Edges that join the lines of a key's group that are within EDITS, directly or over others. Pairs already joined are passed over."""
-    ids, own, lines = (table.column(c).to_pylist() for c in ("id", "own", "text"))
-    ci, cj = table.column("ci")[0].as_py(), table.column("cj")[0].as_py()
-    order = sorted(range(len(ids)), key=lambda x: len(lines[x]))
-    forest, edges = Forest(len(ids)), []
-    size = [len(lines[x]) for x in order]
-    for p, x in enumerate(order):
-        for q in range(p + 1, len(order)):
-            if size[q] > size[p] + EDITS:
-                break
-            y = order[q]
-            if {own[x], own[y]} == {ci, cj} and forest.find(x) != forest.find(y) and within(lines[x], lines[y]):
-                forest.union(x, y)
-                edges.append((ids[x], ids[y]))
-    if edges:
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*edges, strict=True)], names=["a", "b"])
+def _similar(table: pa.Table, starts: list[int]) -> Iterator[pa.RecordBatch]:
+    """Edges that join the lines of each key's group that are within EDITS, directly or over others.
+
+    The pairs of all small groups are compared together. In a large one each line meets the later ones
+    that it isn't joined with yet.
+    """
+    ids, own, ci, cj = (table.column(c).to_numpy() for c in ("id", "own", "ci", "cj"))
+    points, at, length = _points(table.column("text").to_pylist())
+    starts_ = np.array(starts, np.int64)
+    sizes = np.diff(np.append(starts_, len(ids)))
+    meets = lambda p, q: ((own[p] == ci[p]) & (own[q] == cj[p])) | ((own[q] == ci[p]) & (own[p] == cj[p]))
+    few = sizes <= SMALL_GROUP
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    p, q = all_pairs(starts_[few], sizes[few])
+    asked = meets(p, q)
+    p, q = p[asked], q[asked]
+    hit = near(points, at, length, p, q)
+    a.append(p[hit])
+    b.append(q[hit])
+    for begin, size in zip(starts_[~few].tolist(), sizes[~few].tolist(), strict=True):
+        order = begin + np.argsort(length[begin : begin + size], kind="stable")
+        up = np.arange(size)
+        for k in range(size):
+            if own[order[k]] != ci[begin] and own[order[k]] != cj[begin]:
+                continue
+            stop = int(np.searchsorted(length[order], length[order[k]] + EDITS, "right"))
+            later = np.arange(k + 1, stop)
+            later = later[up[later] != up[k]]
+            later = later[meets(np.full(len(later), order[k]), order[later])]
+            later = later[near(points, at, length, np.full(len(later), order[k]), order[later])]
+            later = later[np.unique(up[later], return_index=True)[1]]
+            if len(later):
+                a.append(np.full(len(later), order[k]))
+                b.append(order[later])
+                up[np.isin(up, np.append(up[later], up[k]))] = up[k]
+    a, b = ids[np.concatenate(a)], ids[np.concatenate(b)]
+    if len(a):
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
+def _apart(rows: DataFrame, clashes: DataFrame | None, many: int) -> DataFrame:
+    """rows(id, check, ...) without check; lines that share an id with others get ids of their own."""
+    if clashes is None:
+        return rows.drop("check")
+    marked = join_small(rows, clashes.withColumn("_clash", F.lit(True)), ["id"], many, "left")
+    return marked.withColumn("id", F.when(F.col("_clash"), F.xxhash64("id", "check")).otherwise(F.col("id"))).drop("check", "_clash")
 
 
 def repeated_lines(docs: DataFrame, short: bool = False) -> DataFrame:
     """doc_id, gone: the places (from 0) of the lines of each document that go; documents without any are left out.
 
     Lines are what stands between line feeds, and count from MIN_CHARS characters on; with short those
-    below count as well if they aren't blank, but only as copies of equal lines. Equal lines are one node, whose id is a 64-bit hash of the line. Rows that share a doc_id are one document, whose
-    lines of equal place occur together; rows with a null doc_id or text have no lines.
+    below count as well if they aren't blank, but only as copies of equal lines. Equal lines are one
+    node. Rows that share a doc_id are one document, whose lines of equal place occur together; rows
+    with a null doc_id or text have no lines. Lines of any length are taken whole; an empty table gives
+    an empty one.
     """
     work = Workspace(docs.sparkSession, "lines")
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    occurrences = work.keep(_lines(own, short), "occurrences")
-    lines = work.keep(occurrences.groupBy("id").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")), "lines")
-    total = lines.agg(F.sum("n")).first()[0] or 0
-
-    keyed = _once(own, "key bigint, id bigint", _keyed)
-    shared = keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n"))
-    shared = work.keep(shared.where("low <> high").select("key", "n"), "shared")
+    parsed = work.keep(_lines(own, short), "parsed")
+    by_id = parsed.groupBy("id").agg(F.min("check").alias("low"), F.max("check").alias("high"), F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"))
+    lines = work.keep(by_id, "lines")
+    total, many = lines.agg(F.sum("n"), F.count_if(F.col("low") != F.col("high"))).first()
+    total, clashes, occurrences = total or 0, None, parsed
+    if many:
+        clashes = work.keep(lines.where("low <> high").select("id"), "clashes")
+        occurrences = work.keep(_apart(parsed, clashes, many), "occurrences")
+        lines = work.keep(occurrences.groupBy("id").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")), "lines-apart")
+
+    keyed = _apart(_once(own, "key bigint, id bigint, check bigint, chars int", _keyed), clashes, many)
+    shared = keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n"), F.max("chars").alias("chars"))
+    shared = work.keep(shared.where("low <> high").select("key", "n", (F.col("n") * F.col("chars")).alias("size")), "shared")
     keys, rows = shared.agg(F.count("*"), F.sum("n")).first()
+    keyed = keyed.select("key", "id")
     members = join_small(keyed, shared, ["key"], keys) if keys <= 1_000_000 else attach(keyed, shared, ["key"], rows or 0)
     members = work.keep(members.distinct(), "members")
     wanted = work.keep(members.select("id").distinct(), "wanted")
-    texts = join_small(_once(own, "id bigint, line string", _named), wanted, ["id"], wanted.count()).groupBy("id").agg(F.min("line").alias("text"))
-    groups = chunked(members, "id", CHUNK).join(work.keep(texts, "texts"), "id")
-    links = by_run(groups.select("key", "ci", "cj", "own", "id", "text"), ["key", "ci", "cj"], _similar, "a bigint, b bigint")
+    named = _apart(_once(own, "id bigint, check bigint, line string", _named), clashes, many)
+    texts = work.keep(join_small(named, wanted, ["id"], wanted.count()).groupBy("id").agg(F.min("line").alias("text")), "texts")
+    groups = chunked(members, "id", CHUNK, "n", "size", CHUNK_CHARS).join(texts, "id")
+    links = by_runs(groups.select("key", "ci", "cj", "own", "id", "text"), ["key", "ci", "cj"], _similar, "a bigint, b bigint")
     classes = connected_components(work, links)
 
     rooted = work.keep(lines.join(classes, "id", "left").select("id", "first", "n", F.coalesce("root", "id").alias("root")), "rooted")
@@ -233,13 +370,19 @@ def repeated_lines(docs: DataFrame, short: bool = False) -> DataFrame:
     merged = work.keep(merged, "merged")
     kept = work.keep(attach(rooted.select("id", "root", F.col("n").alias("copies")), merged, ["root"], merged.agg(F.sum("n")).first()[0] or 0).select("id", "keep", F.col("copies").alias("n")), "kept")
     found = attach(occurrences, kept, ["id"], total).where(F.struct("doc_id", "line") != F.col("keep"))
-    return found.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("gone"))
+    gone = work.keep(found.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("gone")), "gone")
+    work.only("gone")
+    return gone
 
 
 def without(text: Column, gone: Column) -> Column:
-    """The text without the lines at the places in gone."""
-    left = F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains(gone, i))
-    return F.when(gone.isNull(), text).otherwise(F.array_join(left, "\n"))
+    """The text without the lines at the places in gone, in time that grows with the number of lines."""
+
+    def left(lines: Column) -> Column:
+        stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+        return F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
+
+    return F.when(gone.isNull(), text).otherwise(F.get(F.transform(F.array(F.split(text, "\n", -1)), left), 0))
 
 
 def deduplicate(docs: DataFrame, keep_empty: bool = True, short: bool = False) -> DataFrame:

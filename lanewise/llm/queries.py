@@ -61,7 +61,7 @@ def op7_bagminhash(spark: SparkSession, folder: str) -> DataFrame:
 
     from .bagminhash import near_duplicates
 
-    return near_duplicates(_table(spark, folder, "documents")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
+    return near_duplicates(_table(spark, folder, "documents"), with_links=True).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
 
 
 def op8_warc_writer(spark: SparkSession, folder: str) -> DataFrame:

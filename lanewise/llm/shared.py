@@ -1,69 +1,26 @@
-"""Shared-folder tables, bounded joins and run-wise readers used by the corpus operators.
-
-Intermediate results that are read more than once are written as Parquet below the folder that the
-cluster names in ``spark.checkpoint.dir``; every executor and the driver see it, so a lost executor
-costs a retry of its tasks and nothing else.
-"""
+"""Bounded joins and run-wise readers used by the corpus operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lanewise.sources.folders import Workspace, shared_root
+
+__all__ = ["Workspace", "shared_root", "open_fs", "all_pairs", "join_small", "attach", "chunked", "whole_runs", "runs", "by_run", "by_runs", "released", "Forest"]
 #: A table is broadcast only if its counted rows are within this (all such tables are a few longs wide).
 BROADCAST_ROWS = 1_000_000
-#: Rows of a file of a table with few narrow columns.
-FILE_ROWS = 250_000
 #: A key is hot if it holds at least 1 / HOT_SHARE of all rows, so at most HOT_SHARE keys are.
 HOT_SHARE = 1000
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one only where none is configured (tests)."""
-    sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        known = sc._jsc.sc().getCheckpointDir()
-        if known.isDefined():
-            root = known.get()
-        else:
-            root = "file://" + tempfile.mkdtemp(prefix="lanewise-")
-            sc.setCheckpointDir(root)
-    return root if "://" in root or root.startswith("file:") else "file://" + root
-
-
-class Workspace:
-    """A folder of its own below the shared one, for the tables of one operator run."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.path = f"{shared_root(spark).rstrip('/')}/lanewise/{name}-{uuid.uuid4().hex}"
-
-    def keep(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
-        """Writes df once and returns it read back, with its lineage cut.
-
-        Where a bound of its rows is known, it is written by as many tasks as these rows need, so that
-        small tables don't become hundreds of files that every later step has to open.
-        """
-        at = f"{self.path}/{name}"
-        if rows is not None:
-            df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
-        df.write.mode("overwrite").parquet(at)
-        return self.spark.read.schema(df.schema).parquet(at)
-
-    def drop(self, name: str = "") -> None:
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}".rstrip("/"))
-        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     """The Arrow file system and the path of a shared-folder URI, on the driver or an executor."""
     if uri.startswith("file:"):
@@ -90,21 +47,53 @@ def attach(rows: DataFrame, groups: DataFrame, keys: list[str], total: int, coun
     return by_hot.unionByName(left.join(cold.hint("merge"), keys))
 
 
-def chunked(rows: DataFrame, id_col: str, size: int, count: str = "n") -> DataFrame:
+def chunks_of(rows: int, count: str = "n", bytes_: str | None = None, room: int = 1) -> Column:
+    """How many chunks a group of ``count`` rows has: chunks of so many rows, and of about ``room`` bytes if its bytes are known."""
+    s = F.ceil(F.col(count) / F.lit(rows))
+    if bytes_:
+        s = F.least(F.col(count), F.greatest(s, F.ceil(F.col(bytes_) / F.lit(room))))
+    return s.cast("int")
+
+
+def chunked(rows: DataFrame, id_col: str, size: int, count: str = "n", bytes_: str | None = None, room: int = 1) -> DataFrame:
     """Adds ci <= cj: the pair of chunks in which a row meets others of its group.
 
-    A group of n rows has s = ceil(n / size) chunks, and each row is given to the s pairs that hold
-    its chunk, so every two rows meet in exactly one pair of *different* chunks or in (c, c), and no
-    task holds more than two chunks of a group. ``own`` is the row's chunk.
+    A group of s chunks gives each row to the s pairs that hold its chunk, so every two rows meet in
+    exactly one pair of *different* chunks or in (c, c), and no task holds more than two chunks of a
+    group. ``own`` is the row's chunk.
     """
-    s = F.ceil(F.col(count) / F.lit(size)).cast("int")
+    s = chunks_of(size, count, bytes_, room)
     own = F.pmod(F.xxhash64(F.col(id_col)), s).cast("int")
     out = rows.withColumn("own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), s - 1)))
     return out.withColumn("ci", F.least("own", "_other")).withColumn("cj", F.greatest("own", "_other")).drop("_other")
 
 
-def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Splits sorted batches into one table per run of equal integer keys; holds one run at a time."""
+@lru_cache(maxsize=1)
+def _trim() -> Callable[[], object]:
+    """Gives the C library's free memory back, where it can."""
+    try:
+        trim = ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):
+        return lambda: None
+    return lambda: trim(0)
+
+
+def released(batches: Iterator[pa.RecordBatch], forget: Callable[[], None] | None = None) -> Iterator[pa.RecordBatch]:
+    """The batches; at the end of the task's input, calls forget and gives free memory back, as workers outlive tasks beside the executor's heap."""
+    try:
+        yield from batches
+    finally:
+        if forget:
+            forget()
+        pa.default_memory_pool().release_unused()
+        _trim()()
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, list[int]]]:
+    """Tables of whole runs of equal integer keys from sorted batches, with the place where each run begins.
+
+    Holds a batch and the run that is open at its end.
+    """
     carry: list[pa.Table] = []
     last = None
     for batch in batches:
@@ -116,30 +105,57 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
         for c in cols:
             change[1:] |= c[1:] != c[:-1]
         change[0] = last is not None and any(c[0] != x for c, x in zip(cols, last, strict=True))
-        cuts = np.flatnonzero(change)
-        begin = 0
-        for cut in cuts:
-            if cut > begin:
-                carry.append(table.slice(begin, cut - begin))
-            if carry:
-                yield pa.concat_tables(carry)
-            carry, begin = [], int(cut)
-        carry.append(table.slice(begin))
+        cuts = np.flatnonzero(change).tolist()
         last = [c[-1] for c in cols]
+        if not cuts:
+            carry.append(table)
+            continue
+        before = sum(t.num_rows for t in carry)
+        parts = [*carry, table.slice(0, cuts[-1])]
+        carry = [table.slice(cuts[-1])]
+        yield pa.concat_tables(parts), [0, *(before + c for c in cuts[:-1])]
     if carry:
-        yield pa.concat_tables(carry)
+        yield pa.concat_tables(carry), [0]
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """One table for each run of equal integer keys."""
+    for table, starts in whole_runs(batches, keys):
+        for a, b in zip(starts, [*starts[1:], table.num_rows], strict=True):
+            yield table.slice(a, b - a)
 
 
 def by_run(df: DataFrame, keys: list[str], function, schema: str) -> DataFrame:
     """Applies function(table) -> iterator of RecordBatch to each group of rows; groups are streamed, not collected."""
 
     def each(batches):
-        for table in runs(batches, keys):
+        for table in runs(released(batches), keys):
             yield from function(table)
 
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(each, schema)
 
 
+def by_runs(df: DataFrame, keys: list[str], function, schema: str) -> DataFrame:
+    """Applies function(table, starts) -> iterator of RecordBatch to many whole groups at a time."""
+
+    def each(batches):
+        for table, starts in whole_runs(released(batches), keys):
+            yield from function(table, starts)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(each, schema)
+
+
+def all_pairs(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places p < q of all pairs within each range."""
+    p, q = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for size in np.unique(sizes):
+        i, j = np.triu_indices(int(size), 1)
+        begin = starts[sizes == size][:, None]
+        p.append((begin + i).reshape(-1))
+        q.append((begin + j).reshape(-1))
+    return np.concatenate(p), np.concatenate(q)
+
+
 class Forest:
     """Union-find over the positions of one task's rows."""
 

@@ -15,8 +15,10 @@ _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-#: Texts are taken in slices of about this many bytes, one text at least.
-SLICE = 4 << 20
+#: Texts are taken in slices of about this many bytes, one text at least; words are hashed in pieces of PIECE bytes.
+SLICE, PIECE = 1 << 20, 1 << 19
+#: Places in a word whose weights are looked up; those beyond are computed.
+PLACES = 4096
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -27,20 +29,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=_U) * _U(_BASE))
-_STEP = mix(np.arange(101, 101 + WORDS, dtype=_U) * _U(_BASE)) | _U(1)
-_powers: dict[str, np.ndarray] = {"up": np.ones(1, _U), "down": np.ones(1, _U)}
+def _weight(place: np.ndarray) -> np.ndarray:
+    return mix((place.astype(_U) + _U(1)) * _U(0xD1342543DE82EF95)) | _U(1)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n at least."""
-    if len(_powers["up"]) < n:
-        size = 1 << (n - 1).bit_length()
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            steps = np.full(size, base, _U)
-            steps[0] = 1
-            _powers[name] = np.cumprod(steps, dtype=_U)
-    return _powers["up"], _powers["down"]
+_BYTE = mix(np.arange(1, 257, dtype=_U) * _U(_BASE))
+_PLACE = _weight(np.arange(PLACES))
 
 
 def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -53,32 +47,57 @@ def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def prefix_hash(raw: np.ndarray) -> np.ndarray:
-    """Sums from which the hash of any byte range follows: see range_hash."""
-    up, _ = powers(len(raw) + 1)
-    sums = np.zeros(len(raw) + 1, _U)
-    np.cumsum(_BYTE[raw] * up[: len(raw)], out=sums[1:])
-    return sums
-
-
-def range_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of byte ranges; equal bytes have equal hashes wherever they stand."""
-    _, down = powers(len(sums))
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(_U))
+def _pieces(raw: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of about PIECE bytes that no word crosses: they end with a row, before white space, or where a longer word ends."""
+    begin, n = 0, len(raw)
+    while begin < n:
+        end = begin + PIECE
+        if end < n:
+            row = int(np.searchsorted(at, end, "right")) - 1
+            if at[row] > begin:
+                end = int(at[row])
+            else:
+                stop = int(at[row + 1])
+                while end < stop and not (space := _SPACE[raw[end : min(end + PLACES, stop)]]).any():
+                    end += len(space)
+                end += int(space.argmax()) if end < stop else 0
+                end = min(end, stop)
+        end = min(end, n)
+        yield begin, end
+        begin = end
 
 
 def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of each word, and for each row the index of its first word (one more at the end)."""
+    """The hash of each word, and for each row the index of its first word (one more at the end).
+
+    A word's hash is a sum over its bytes, each weighted by its place in the word, so equal words have
+    equal hashes wherever they stand, and no number depends on how long a text is.
+    """
     if not len(raw):
         return np.zeros(0, _U), np.zeros(len(at), np.int64)
-    inside = ~_SPACE[raw]
-    full = at[:-1] < at[1:]
-    before, after = np.zeros(len(raw), bool), np.zeros(len(raw), bool)
-    before[1:], after[:-1] = inside[:-1], inside[1:]
-    before[at[:-1][full]] = False
-    after[at[1:][full] - 1] = False
-    start, end = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-    return range_hash(prefix_hash(raw), start, end), np.searchsorted(start, at)
+    hashes, starts = [], []
+    for low, high in _pieces(raw, at):
+        part = raw[low:high]
+        inside = ~_SPACE[part]
+        first = inside.copy()
+        first[1:] &= ~inside[:-1]
+        rows = at[np.searchsorted(at, low) : np.searchsorted(at, high)] - low
+        first[rows] |= inside[rows]
+        begin = np.flatnonzero(first)
+        if not len(begin):
+            continue
+        letters = part[inside]
+        spot = np.flatnonzero(first[inside])
+        length = np.diff(np.append(spot, len(letters)))
+        place = np.arange(len(letters)) - np.repeat(spot, length)
+        weight = _PLACE[np.minimum(place, PLACES - 1)]
+        if len(far := np.flatnonzero(place >= PLACES)):
+            weight[far] = _weight(place[far])
+        hashes.append(mix(np.add.reduceat(_BYTE[letters] * weight, spot) + length.astype(_U)))
+        starts.append(begin + low)
+    if not hashes:
+        return np.zeros(0, _U), np.zeros(len(at), np.int64)
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), at)
 
 
 def shingle_hashes(raw: np.ndarray, at: np.ndarray, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:

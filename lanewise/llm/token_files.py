@@ -7,6 +7,7 @@ block's exception list. The block starts form the index, which with the document
 end of the file:
 
     "PFOR1\\n" | block ... | block starts (u8 each) | doc_id, ids (i8, i8 each) | blocks, docs, ids, BLOCK (i8 each) | "PFOR1\\n"
+    a null doc_id has 0 there, and its number of ids n stands as -1 - n
     block: minimum u4 | exceptions u2 | width u1 | 0 u1 | packed words u8 ... | places u2 ... | high parts u4 ...
 
 All numbers are little-endian. Files are made under temporary names and renamed; the manifest with
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .forced_bpe import forced_boundary, text_slices
-from .shared import Workspace, open_fs
+from .shared import Workspace, open_fs, released
 
 BLOCK = 1024
 PERCENTILE = 95
@@ -113,8 +114,10 @@ class TokenFileWriter:
         self.at, self.starts, self.docs, self.ids = len(MAGIC), [], [], 0
         self.open_ids = np.zeros(0, np.uint32)
 
-    def add(self, doc_ids: list[int], ids: np.ndarray, sizes: np.ndarray) -> None:
-        self.docs.append(np.stack([np.array(doc_ids, np.int64), sizes.astype(np.int64)], axis=1))
+    def add(self, doc_ids: list[int | None], ids: np.ndarray, sizes: np.ndarray) -> None:
+        null = np.array([d is None for d in doc_ids], bool)
+        sizes = np.where(null, -1 - sizes, sizes).astype(np.int64)
+        self.docs.append(np.stack([np.array([d or 0 for d in doc_ids], np.int64), sizes], axis=1))
         self.ids += len(ids)
         ids = np.concatenate((self.open_ids, ids))
         full = len(ids) // BLOCK * BLOCK
@@ -139,7 +142,7 @@ class TokenFileWriter:
         return len(docs), self.ids
 
 
-def read_token_file(uri: str) -> Iterator[tuple[int, np.ndarray, bool]]:
+def read_token_file(uri: str) -> Iterator[tuple[int | None, np.ndarray, bool]]:
     """(doc_id, ids, last) in file order; a long document comes in several parts, the last of them marked."""
     fs, path = open_fs(uri)
     size = fs.get_file_info(path).size
@@ -155,6 +158,8 @@ def read_token_file(uri: str) -> Iterator[tuple[int, np.ndarray, bool]]:
         table = np.frombuffer(f.read_at(16 * docs, tail + 8 * blocks), "<i8").reshape(-1, 2)
         have, block = np.zeros(0, np.uint32), 0
         for doc_id, left in table.tolist():
+            if left < 0:
+                doc_id, left = None, -1 - left
             while True:
                 part, have = have[:left], have[left:]
                 left -= len(part)
@@ -173,7 +178,7 @@ def write_token_files(docs: DataFrame, path: str, to: str, end_id: int) -> list[
     divided, too), encoded where they arrive
     (fragments between certain cuts by the tokenizers library's own model) and written at once: ids
     are never shuffled. Null texts
-    have the end id alone; a null doc_id counts as the smallest id and is kept as the least long.
+    have the end id alone; a null doc_id stands before all others and stays null.
     Rows of equal doc_id stand in the order of their texts' hashes. A file that an attempt leaves
     unfinished keeps a temporary name and is in no manifest.
     """
@@ -183,7 +188,7 @@ def write_token_files(docs: DataFrame, path: str, to: str, end_id: int) -> list[
 
         name, out = f"{to}/part-{TaskContext.get().partitionId():06d}.pfor", None
         coder, ending = forced_boundary(path), np.array([end_id], np.uint32)
-        for batch in batches:
+        for batch in released(batches, coder.forget):
             at, doc_ids = 0, batch.column(0).to_pylist()
             for rows in text_slices(batch.column(1)):
                 out = out or TokenFileWriter(name)
@@ -194,8 +199,7 @@ def write_token_files(docs: DataFrame, path: str, to: str, end_id: int) -> list[
             n, ids = out.close()
             yield pa.RecordBatch.from_pydict({"file": [name], "docs": [n], "ids": [ids]}, schema=pa.schema([("file", pa.string()), ("docs", pa.int64()), ("ids", pa.int64())]))
 
-    least = F.lit(-(1 << 63)).cast("bigint")
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), least).alias("doc_id"), "text").withColumn("h", F.xxhash64("text"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").withColumn("h", F.xxhash64("text"))
     ordered = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
     manifest, start = [], 0
     for r in sorted(ordered.mapInArrow(each, "file string, docs bigint, ids bigint").collect()):

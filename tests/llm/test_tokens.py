@@ -63,13 +63,13 @@ def test_outliers_are_exceptions():
 
 
 def test_files(spark, library):
-    rows = [(5, "the cat", 1), (None, "null id", 1), (3, None, 1), (3, "", 1), (4, "word " * 9000, 1), (5, "the cat", 1), (-7, "a", 1)]
+    rows = [(5, "the cat", 1), (None, "null id", 1), (-(1 << 63), "least id", 1), (3, None, 1), (3, "", 1), (4, "word " * 9000, 1), (5, "the cat", 1), (-7, "a", 1)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, n_tokens int")
     got = [tuple(r) for r in token_files.token_files(spark, docs, tokenizer_path()).orderBy("start").collect()]
     want, start = [], 0
-    for doc_id, text, _ in sorted(rows, key=lambda r: -(1 << 63) if r[0] is None else r[0]):
+    for doc_id, text, _ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
         ids = np.array([*library.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
-        want.append((-(1 << 63) if doc_id is None else doc_id, start, len(ids), zlib.crc32(ids.tobytes())))
+        want.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
     assert got == want
 
@@ -84,3 +84,25 @@ def test_round_trip_of_odd_rows(spark):
     docs = spark.createDataFrame([(1, None), (1, None), (None, "x"), (2, "")], "doc_id bigint, text string").withColumn("ids", F.lit(1))
     got = forced_bpe.round_trip(docs, tokenizer_path()).collect()
     assert sorted((r["doc_id"] or 0, r["n_tokens"]) for r in got) == [(0, 1), (1, 0), (1, 0), (2, 0)]
+
+
+def test_tables_of_pieces_are_bounded_in_bytes(library, monkeypatch):
+    monkeypatch.setattr(forced_bpe, "CACHE_BYTES", 20_000)
+    monkeypatch.setattr(forced_bpe, "SLICE_BYTES", 3000)
+    coder, rng = forced_bpe.ForcedBoundary(tokenizer_path()), random.Random(2)
+    texts = [" ".join("".join(rng.choice("abcdefgé") for _ in range(rng.randint(1, 9))) for _ in range(80)) for _ in range(40)]
+    texts.append("\n".join(texts) + "\x1c" + " x" * 4000 + "y" * 9000)
+    for text in texts:
+        ids, _ = coder.encode([text])
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+        assert all(known.bytes < 20_000 + 3 * 3000 * forced_bpe.KEY_BYTES for known in (coder.known_pieces, coder.known_words))
+    coder.forget()
+    assert not coder.known_pieces.slots
+    assert "".join(forced_bpe.parts(texts[-1])) == texts[-1]
+
+
+def test_other_tokenizers_are_refused():
+    import public_tokenizers
+
+    with pytest.raises(ValueError):
+        forced_bpe.ForcedBoundary(public_tokenizers.path("byte_bpe_50k.json"))
