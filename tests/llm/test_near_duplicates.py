@@ -157,6 +157,18 @@ def test_vectors_by_brute_force(spark, monkeypatch):
     monkeypatch.setattr(embedding_join, "CHUNK", 7)
     monkeypatch.setattr(embedding_join, "CELL_ROWS", 4)
     assert sorted(map(tuple, embedding_join.near_vectors(df).collect())) == want
+    monkeypatch.setattr(embedding_join, "GROUP_CHUNK", 2)
+    assert sorted(map(tuple, embedding_join.near_vectors(df.union(df.where("vec_id % 7 = 0"))).where("vec_id % 7 <> 0").select("vec_id", "component_id").collect())) == [(w[0], w[2]) for w in want if w[0] % 7]
+    for grid in embedding_join.GRIDS:
+        monkeypatch.setattr(embedding_join, "choose_grid", lambda most, dim, grid=grid: grid)
+        if grid in ((8, 4.0), (8, 2.0), (8, 1.0)):
+            assert sorted(map(tuple, embedding_join.near_vectors(df).collect())) == want
+
+
+def test_grids_keep_up_with_the_vectors():
+    """What a vector is compared with grows far slower than the number of vectors."""
+    cost = {n: n * embedding_join.crowding(64, embedding_join.choose_grid(n, 64)) for n in (50_000, 400_000, 4_000_000, 40_000_000)}
+    assert max(cost.values()) <= embedding_join.CELL_ROWS
 
 
 def test_no_vectors(spark):
@@ -258,3 +270,20 @@ def test_contained_items_by_brute_force(spark):
     finally:
         decontaminate.BLOCK_ITEMS = decontaminate_blocks
     assert decontaminate.contaminated(df, bench.limit(0)).count() == 0
+    assert decontaminate.contaminated(df.limit(0), bench).count() == 0
+    assert decontaminate.clean(df, bench.limit(0)).count() == df.count()
+
+
+def test_items_without_an_id(spark):
+    text = " ".join(WORDS[:30])
+    docs = spark.createDataFrame([(1, text), (2, "x")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(None, text), (-1, text), (3, " ".join(WORDS[5:25]))], "item_id bigint, text string")
+    got = [(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, items).collect()]
+    assert got == [(1, None), (1, -1), (1, 3)]
+    old = decontaminate.BLOCK_BYTES
+    try:
+        decontaminate.BLOCK_BYTES = 10
+        assert sorted(map(str, decontaminate.contaminated(docs, items).collect())) == sorted(f"Row(doc_id=1, item_id={i}, containment=1.0)" for i in (None, -1, 3))
+        assert [r["doc_id"] for r in decontaminate.clean(docs, items).collect()] == [2]
+    finally:
+        decontaminate.BLOCK_BYTES = old
