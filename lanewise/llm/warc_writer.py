@@ -1,6 +1,6 @@
 """Deterministic sharded WARC files (operator 8).
 
-Records are divided into shards of consecutive page_ids by a histogram of payload bytes, sorted by
+Records are divided into shards of consecutive page_ids by running sums of payload bytes, sorted by
 page_id, and written to gzip-per-record files that roll at FILE_BYTES of compressed size. Headers,
 record ids and digests are made anew from the row alone, and the shards follow from the rows alone,
 so the same table gives the same files byte for byte, in any cluster. Files get their names when they
@@ -20,17 +20,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import Workspace, attach, open_fs
+from .shared import Workspace, attach, open_fs, released
 
 #: Payloads from this size on are stored once.
 REVISIT_BYTES = 1000
 FILE_BYTES = 64 << 20
-#: A shard aims at the larger of these bytes and of 1 / MAX_SHARDS of all.
-SHARD_BYTES, MAX_SHARDS = 4 << 20, 1 << 16
-BINS = 1024
+#: A shard is a task and aims at 1 / SHARDS of all payload bytes, but no less than the first and no more than the second of
+#: SHARD_BYTES (several files), unless there would be more than MAX_SHARDS.
+SHARD_BYTES, SHARDS, MAX_SHARDS = (4 << 20, 512 << 20), 64, 1 << 18
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -112,42 +112,34 @@ def read_records(uri: str) -> Iterator[tuple[dict[str, str], bytes]]:
                 yield fields, rest[: int(fields["Content-Length"])]
 
 
-def shard_cuts(sizes: DataFrame) -> list[int]:
-    """The first page_id of each shard but the first, from sizes(page_id, bytes).
+def shard_cuts(work: Workspace, sizes: DataFrame) -> list[int]:
+    """The first page_id of each shard but the first, from sizes(page_id, digest, bytes); one number a shard comes to the driver.
 
-    Bytes are summed in BINS equal ranges of page_id; ranges above the shard size are divided
-    further, so ids may be spread in any way. What comes to the driver is bounded by MAX_SHARDS * BINS.
+    Sums of bytes run along the rows in the order of page_id and digest: within parts of a range
+    partitioning that is written once, from the sum of the parts before. The cuts follow from the rows
+    alone, wherever the parts begin.
     """
-    low, high, total = sizes.agg(F.min("page_id"), F.max("page_id"), F.sum("bytes")).first()
-    if low is None:
+    rows = sizes.where("page_id is not null")
+    total = rows.agg(F.sum("bytes")).first()[0] or 0
+    least, most = SHARD_BYTES
+    target = max(least, min(most, total // SHARDS), total // MAX_SHARDS)
+    if total <= target:
         return []
-    target = max(SHARD_BYTES, total // MAX_SHARDS)
-    ranges, width = [], high - low + 1
-    rows = sizes.where("page_id is not null").withColumn("low", F.lit(low).cast("bigint"))
-    while True:
-        width = -(-width // BINS)
-        rows = rows.withColumn("low", F.col("low") + F.floor((F.col("page_id") - F.col("low")) / F.lit(width)).cast("bigint") * width)
-        found = rows.groupBy("low").agg(F.sum("bytes").alias("bytes")).collect()
-        heavy = [r["low"] for r in found if r["bytes"] > target and width > 1]
-        ranges += [(r["low"], r["bytes"]) for r in found if r["low"] not in set(heavy)]
-        if not heavy:
-            break
-        some = sizes.sparkSession.createDataFrame([(x,) for x in heavy], "low bigint")
-        rows = rows.join(F.broadcast(some), "low")
-    cuts, have = [], 0
-    for low, size in sorted(ranges):
-        if have and have + size > target:
-            cuts.append(low)
-            have = 0
-        have += size
-    return cuts
+    ordered = work.keep(rows.repartitionByRange("page_id", "digest").select("page_id", "digest", "bytes", F.spark_partition_id().alias("part")), "ordered")
+    parts = ordered.groupBy("part").agg(F.sum("bytes").alias("own")).withColumn("before", F.sum("own").over(Window.orderBy("part")) - F.col("own")).select("part", "before")
+    along = Window.partitionBy("part").orderBy("page_id", "digest").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = ordered.withColumn("upto", F.sum("bytes").over(along)).join(F.broadcast(parts), "part")
+    shard = F.floor((F.col("before") + F.col("upto") - F.col("bytes")) / F.lit(target))
+    firsts = summed.groupBy(shard.alias("shard")).agg(F.min("page_id").alias("first")).where("shard > 0")
+    return sorted({r["first"] for r in firsts.select("first").collect()})
 
 
 def write_warc(pages: DataFrame, to: str) -> list[dict]:
     """Writes a record for each row of pages (page_id, url, html) below the shared folder to; returns the manifest.
 
     Of the rows with an equal payload of REVISIT_BYTES at least, those with the largest page_id are
-    responses and the others revisits of it; smaller payloads are always responses. Null html is an
+    responses and the others revisits of it; smaller payloads are always responses. Html of any length is
+    one record; an empty table gives a manifest without files; other columns aren't read. Null html is an
     empty payload, a null url is about:blank, a null page_id stands first and is a response. Repeated
     rows give repeated records. Only the revisits' ids, not payloads, pass the join by payload; then
     they are sorted in among the pages, so each payload is shuffled once.
@@ -158,7 +150,7 @@ def write_warc(pages: DataFrame, to: str) -> list[dict]:
     large = narrow.where((F.col("bytes") >= REVISIT_BYTES) & F.col("page_id").isNotNull()).select("page_id", "digest")
     groups = work.keep(large.groupBy("digest").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).where("n > 1"), "groups")
     revisits = attach(large, groups, ["digest"], groups.agg(F.sum("n")).first()[0] or 0).where("page_id < top").select("page_id", "digest", "top").distinct()
-    cuts = np.array(shard_cuts(narrow), np.int64)
+    cuts = np.array(shard_cuts(work, narrow), np.int64)
 
     @F.arrow_udf("int")
     def shard_of(ids: pa.Array) -> pa.Array:
@@ -167,7 +159,7 @@ def write_warc(pages: DataFrame, to: str) -> list[dict]:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files: WarcFiles | None = None
         done, known, top = [], None, None
-        for batch in batches:
+        for batch in released(batches):
             for shard, page_id, digest, kind, url, html, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if files is None or files.shard != shard:
                     if files:
@@ -188,7 +180,7 @@ def write_warc(pages: DataFrame, to: str) -> list[dict]:
     mark = revisits.select("page_id", "digest", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "top")
     placed = page.unionByName(mark).withColumn("shard", shard_of("page_id"))
     order = ["shard", "page_id", "digest", "kind", "url", "html", "top"]
-    placed = placed.select(*order).repartition(len(cuts) + 1, "shard").sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
+    placed = placed.select(*order).repartitionById(len(cuts) + 1, "shard").sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
     manifest = [r.asDict() for r in sorted(placed.mapInArrow(each, "file string, records bigint, bytes bigint").collect())]
     work.drop()
     fs, folder = open_fs(to)
