@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bagminhash import local_components
 from .components import connected_components
 from .forced_bpe import text_slices
 from .shared import Workspace, all_pairs, attach, by_runs, chunked, join_small, released
@@ -39,10 +40,11 @@ MIN_CHARS = 20
 CHUNK, CHUNK_CHARS = 1024, 2 << 20
 #: Substrings of lines up to this length are hashed from sums along the line, those of longer lines one by one.
 LONG = 1 << 16
-#: Characters (with padding) of the pairs that are compared at a time, and places between two looks at which pairs are beyond EDITS.
-CELLS, LOOK = 1 << 20, 16
-#: Groups up to this size give all their pairs at once; larger ones a line at a time, past those already joined.
-SMALL_GROUP = 24
+#: Pairs and characters (with padding) that are compared at a time, places between two looks at which pairs are beyond EDITS, and
+#: places that all pairs pass before those that are left take all theirs.
+PAIRS, CELLS, LOOK, FIRST = 4096, 1 << 19, 16, 32
+#: Groups up to this size give all their pairs at once; of larger ones so many lines at a time meet those they aren't joined with yet.
+SMALL_GROUP, LEADERS = 64, 32
 _U = np.uint64
 
 
@@ -108,63 +110,65 @@ def line_keys(lines: list[str], edits: int = EDITS) -> tuple[np.ndarray, np.ndar
 
 
 def _padded(points: np.ndarray, at: np.ndarray, length: np.ndarray, width: int) -> np.ndarray:
-    """The ranges at + length of points as rows of a table, filled up with zeros."""
-    column = np.arange(width)
-    inside = column < length[:, None]
-    return np.where(inside, points[np.minimum(at[:, None] + column, len(points) - 1)], 0)
+    """The ranges at + length of points as rows of a table of a width, filled up with zeros."""
+    column = np.arange(width, dtype=np.int32)
+    out = points[np.minimum(at.astype(np.int32)[:, None] + column, np.int32(len(points) - 1))]
+    out *= column < length.astype(np.int32)[:, None]
+    return out
 
 
-def _trimmed(x: np.ndarray, y: np.ndarray, least: np.ndarray) -> np.ndarray:
-    """How many places from the left on the rows of x and y are the same, least at most."""
-    other = x != y
-    first = other.argmax(axis=1)
-    return np.minimum(np.where(other[np.arange(len(x)), first], first, x.shape[1]), least)
+def _same(points: np.ndarray, x: np.ndarray, y: np.ndarray, most: np.ndarray, step: int) -> np.ndarray:
+    """How many places from x and y on, in steps, are the same, most at most; looks further only where all were so far."""
+    done, open_, width = np.zeros(len(x), np.int64), np.flatnonzero(most > 0), 8
+    while len(open_):
+        place = done[open_, None] + np.arange(width)
+        a, b = (points[np.clip(s[open_, None] + step * place, 0, len(points) - 1)] for s in (x, y))
+        equal = (a == b) & (place < most[open_, None])
+        run = np.where(equal.all(axis=1), width, equal.argmin(axis=1))
+        done[open_] += run
+        open_, width = open_[run == width], min(4 * width, 128)
+    return done
 
 
 def near(points: np.ndarray, at: np.ndarray, length: np.ndarray, p: np.ndarray, q: np.ndarray, edits: int = EDITS) -> np.ndarray:
     """For each pair of lines p and q whether their edit distance is edits at most.
 
-    Lines are ranges of points (one more than code points, so never 0). Pairs are compared in blocks of
-    pairs of similar length, CELLS places at a time.
+    Lines are ranges of points (one more than code points, so never 0). Common ends are cut off. What is
+    left passes the band: the first places of all pairs, and then all places of those still within it.
     """
     out = np.zeros(len(p), bool)
-    close = np.abs(length[p] - length[q]) <= edits
-    order = np.flatnonzero(close)
-    order = order[np.argsort(np.maximum(length[p[order]], length[q[order]]), kind="stable")]
-    begin = 0
-    while begin < len(order):
-        # lengths rise, so the last pair of a block is its widest
-        end = begin + 1
-        step = max(1, CELLS // max(1, int(max(length[p[order[begin]]], length[q[order[begin]]]))))
-        end = min(len(order), begin + step)
-        widest = lambda k: int(max(length[p[order[k]]], length[q[order[k]]], 1))
-        while end - begin > 1 and (end - begin) * widest(end - 1) > 2 * CELLS:
-            end = begin + (end - begin) // 2
-        some = order[begin:end]
-        out[some] = _near(points, at[p[some]], length[p[some]], at[q[some]], length[q[some]], edits)
-        begin = end
+    close = np.flatnonzero(np.abs(length[p] - length[q]) <= edits)
+    for begin in range(0, len(close), PAIRS):
+        some = close[begin : begin + PAIRS]
+        a_at, a_len, b_at, b_len = at[p[some]], length[p[some]], at[q[some]], length[q[some]]
+        both = np.minimum(a_len, b_len)
+        head = _same(points, a_at, b_at, both, 1)
+        tail = _same(points, a_at + a_len - 1, b_at + b_len - 1, both - head, -1)
+        a_at, b_at, m, n = a_at + head, b_at + head, a_len - head - tail, b_len - head - tail
+        out[some] = np.maximum(m, n) <= edits
+        left = np.flatnonzero(~out[some] & (m > 0) & (n > 0))
+        if not len(left):
+            continue
+        wide = FIRST + 2 * edits + 1
+        hit, left_over = banded(_padded(points, a_at[left], m[left], wide), m[left], _padded(points, b_at[left], n[left], FIRST), n[left], edits)
+        out[some[left]] = hit
+        left = left[left_over]
+        left = left[np.argsort(np.maximum(m[left], n[left]), kind="stable")]
+        while len(left):
+            # lengths rise, so the last pair of a block is its widest
+            many = len(left)
+            while many > 1 and many * max(m[left[many - 1]], n[left[many - 1]]) > CELLS:
+                many = -(-many // 2)
+            block, left = left[:many], left[many:]
+            width = int(max(m[block].max(), n[block].max()))
+            out[some[block]] = banded(_padded(points, a_at[block], m[block], width), m[block], _padded(points, b_at[block], n[block], width), n[block], edits)[0]
     return out
 
 
-def _near(points: np.ndarray, a_at: np.ndarray, a_len: np.ndarray, b_at: np.ndarray, b_len: np.ndarray, edits: int) -> np.ndarray:
-    """near for one block: common ends are cut off, and what is left passes the band."""
-    width = int(max(a_len.max(), b_len.max(), 1))
-    both = np.minimum(a_len, b_len)
-    head = _trimmed(_padded(points, a_at, a_len, width), _padded(points, b_at, b_len, width), both)
-    flip = lambda at, n: len(points) - at - n
-    back = points[::-1]
-    tail = _trimmed(_padded(back, flip(a_at, a_len), a_len, width), _padded(back, flip(b_at, b_len), b_len, width), both - head)
-    a_at, b_at, m, n = a_at + head, b_at + head, a_len - head - tail, b_len - head - tail
-    out = np.maximum(m, n) <= edits
-    left = np.flatnonzero(~out & (m > 0) & (n > 0))
-    if len(left):
-        width = int(max(m[left].max(), n[left].max()))
-        out[left] = banded(_padded(points, a_at[left], m[left], width), m[left], _padded(points, b_at[left], n[left], width), n[left], edits)
-    return out
-
+def banded(a: np.ndarray, m: np.ndarray, b: np.ndarray, n: np.ndarray, edits: int = EDITS) -> tuple[np.ndarray, np.ndarray]:
+    """Whether the edit distance of each pair of rows (of lengths m and n, 1 at least, that differ by edits at most) is edits at most, and the pairs of which that is open.
 
-def banded(a: np.ndarray, m: np.ndarray, b: np.ndarray, n: np.ndarray, edits: int = EDITS) -> np.ndarray:
-    """Whether the edit distance of each pair of rows (of lengths m and n, 1 at least, that differ by edits at most) is edits at most.
+    The rows may be beginnings; a pair is open if it is within the band after all columns of b that there are.
 
     One byte a pair holds a band of 2 * edits + 1 diagonals of the distance matrix as vertical
     differences; all pairs take one column, a character of b, after the other. The score follows the
@@ -206,12 +210,12 @@ def banded(a: np.ndarray, m: np.ndarray, b: np.ndarray, n: np.ndarray, edits: in
                 value = value - ((vp >> kind(k)) & kind(1)) + ((vn >> kind(k)) & kind(1)).astype(np.int64)
                 least = np.minimum(least, value)
             keep = np.flatnonzero(~done & ((least <= edits) | ~low))
-            if not len(keep):
-                break
+            if not len(keep) or j == cols.shape[0]:
+                return out, who[keep]
             if len(keep) < len(who):
                 who, m, n, score, vp, vn = (x[keep] for x in (who, m, n, score, vp, vn))
                 rows, cols = rows[:, keep], cols[:, keep]
-    return out
+    return out, who
 
 
 def within(a: str, b: str, edits: int = EDITS) -> bool:
@@ -273,9 +277,11 @@ def _once(docs: DataFrame, schema: str, make) -> DataFrame:
     return docs.select("text").mapInArrow(each, schema)
 
 
-def _keyed(known: np.ndarray, lines: list[str]) -> pa.RecordBatch:
+def _keyed(known: np.ndarray, lines: list[str], fields: list[str]) -> pa.RecordBatch:
     which, keys = line_keys(lines)
-    return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(known[which, 0]), pa.array(known[which, 1]), pa.array(np.array(list(map(len, lines)), np.int32)[which])], names=["key", "id", "check", "chars"])
+    size = np.fromiter(map(len, lines), np.int32, len(lines))
+    all_ = {"key": lambda: keys, "id": lambda: known[which, 0], "check": lambda: known[which, 1], "chars": lambda: size[which]}
+    return pa.RecordBatch.from_arrays([pa.array(all_[f]()) for f in fields], names=fields)
 
 
 def _named(known: np.ndarray, lines: list[str]) -> pa.RecordBatch:
@@ -304,19 +310,25 @@ def _similar(table: pa.Table, starts: list[int]) -> Iterator[pa.RecordBatch]:
     for begin, size in zip(starts_[~few].tolist(), sizes[~few].tolist(), strict=True):
         order = begin + np.argsort(length[begin : begin + size], kind="stable")
         up = np.arange(size)
-        for k in range(size):
-            if own[order[k]] != ci[begin] and own[order[k]] != cj[begin]:
-                continue
-            stop = int(np.searchsorted(length[order], length[order[k]] + EDITS, "right"))
-            later = np.arange(k + 1, stop)
-            later = later[up[later] != up[k]]
-            later = later[meets(np.full(len(later), order[k]), order[later])]
-            later = later[near(points, at, length, np.full(len(later), order[k]), order[later])]
-            later = later[np.unique(up[later], return_index=True)[1]]
-            if len(later):
-                a.append(np.full(len(later), order[k]))
-                b.append(order[later])
-                up[np.isin(up, np.append(up[later], up[k]))] = up[k]
+        at_most = np.searchsorted(length[order], length[order] + EDITS, "right")
+        low = 0
+        while low < size:
+            # the first line alone, as it joins most of a group of copies
+            high = min(size, low + (LEADERS if low else 1))
+            many = at_most[low:high] - np.arange(low, high) - 1
+            i = np.repeat(np.arange(low, high), many)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)
+            asked = up[i] != up[j]
+            i, j = i[asked], j[asked]
+            asked = meets(order[i], order[j])
+            i, j = i[asked], j[asked]
+            hit = near(points, at, length, order[i], order[j])
+            a.append(order[i[hit]])
+            b.append(order[j[hit]])
+            if hit.any():
+                # joined with the components that there were before
+                up = local_components(size, np.concatenate((np.arange(size), i[hit])), np.concatenate((up, j[hit])))
+            low = high
     a, b = ids[np.concatenate(a)], ids[np.concatenate(b)]
     if len(a):
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
@@ -351,12 +363,15 @@ def repeated_lines(docs: DataFrame, short: bool = False) -> DataFrame:
         occurrences = work.keep(_apart(parsed, clashes, many), "occurrences")
         lines = work.keep(occurrences.groupBy("id").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")), "lines-apart")
 
-    keyed = _apart(_once(own, "key bigint, id bigint, check bigint, chars int", _keyed), clashes, many)
-    shared = keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n"), F.max("chars").alias("chars"))
+    def keyed(*more: str) -> DataFrame:
+        fields = ["key", "id", *(["check"] if many else []), *more]
+        kinds = ", ".join(f"{f} {'int' if f == 'chars' else 'bigint'}" for f in fields)
+        return _apart(_once(own, kinds, lambda known, lines: _keyed(known, lines, fields)), clashes, many)
+
+    shared = keyed("chars").groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n"), F.max("chars").alias("chars"))
     shared = work.keep(shared.where("low <> high").select("key", "n", (F.col("n") * F.col("chars")).alias("size")), "shared")
     keys, rows = shared.agg(F.count("*"), F.sum("n")).first()
-    keyed = keyed.select("key", "id")
-    members = join_small(keyed, shared, ["key"], keys) if keys <= 1_000_000 else attach(keyed, shared, ["key"], rows or 0)
+    members = join_small(keyed(), shared, ["key"], keys) if keys <= 1_000_000 else attach(keyed(), shared, ["key"], rows or 0)
     members = work.keep(members.distinct(), "members")
     wanted = work.keep(members.select("id").distinct(), "wanted")
     named = _apart(_once(own, "id bigint, check bigint, line string", _named), clashes, many)

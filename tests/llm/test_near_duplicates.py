@@ -287,3 +287,55 @@ def test_items_without_an_id(spark):
         assert [r["doc_id"] for r in decontaminate.clean(docs, items).collect()] == [2]
     finally:
         decontaminate.BLOCK_BYTES = old
+
+
+def test_large_groups_of_lines_by_brute_force(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(40))
+    lines = sorted({base[:20] + "".join(rng.choice("xyz") if rng.random() < 0.12 else c for c in base[20:]) for _ in range(150)})
+    rows = [(i, rng.randint(0, 1)) for i in range(len(lines))]
+    table = pa.table({"id": [i for i, _ in rows], "own": [o for _, o in rows], "ci": [0] * len(rows), "cj": [1] * len(rows), "text": lines})
+    forest = Forest(len(lines))
+    for (a, x), (b, y) in itertools.combinations(enumerate(lines), 2):
+        if rows[a][1] != rows[b][1] and distance(x, y) <= 2:
+            forest.union(a, b)
+    want = {i: forest.find(i) for i in range(len(lines))}
+    for small in (4, 1000):
+        monkeypatch.setattr(line_dedup, "SMALL_GROUP", small)
+        got = Forest(len(lines))
+        for batch in line_dedup._similar(table, [0]):
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                assert distance(lines[a], lines[b]) <= 2
+                got.union(a, b)
+        assert {i: got.find(i) for i in range(len(lines))} == want
+
+
+def test_lines_of_one_hash_are_told_apart(spark, monkeypatch):
+    rows = [(1, "first line of twenty characters\nsecond line of many characters"), (2, "second line of many characters\nthird, and another line of text")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    plain = line_dedup.line_ids
+    monkeypatch.setattr(line_dedup, "line_ids", lambda lines: np.stack((np.zeros(len(lines), np.int64), plain(lines)[:, 1]), axis=1))
+    make = line_dedup._lines(docs, False)
+    assert make.count() == 4
+    got = {r["doc_id"]: r["gone"] for r in line_dedup.line_digest(docs).collect()}
+    assert got == {1: [], 2: [0]}
+
+
+def test_many_repeated_lines_in_one_text(spark):
+    import time
+
+    text = "\n".join(["a line that is repeated in this text", *(f"another line with the number {i * 7919} in it, {i * i}" for i in range(300))] * 130)
+    docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    gone = spark.range(1).select(F_array(spark, 301, 39130).alias("gone"))
+    began = time.time()
+    left = docs.crossJoin(gone).select(line_dedup.without(docs["text"], gone["gone"])).first()[0]
+    assert time.time() - began < 5
+    assert left == "\n".join(text.split("\n")[:301])
+
+
+def F_array(spark, low, high):
+    from pyspark.sql import functions as F
+
+    return F.sequence(F.lit(low), F.lit(high - 1))
