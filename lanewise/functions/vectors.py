@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -139,3 +141,10 @@ def shrunk(width: Column, height: Column, side: int) -> Column:
 def mean_of_flips(a: Column, b: Column) -> Column:
     """The unit vector of a face and its mirror image together."""
     return unit(F.zip_with(doubles(a), doubles(b), lambda x, y: x + y))
+
+
+def margin_logit(cos: Column, own: Column, margin: float = 0.5, scale: float = 64.0) -> Column:
+    """The scaled logit of a class: that of the own class has an angular margin taken off."""
+    c = F.greatest(F.lit(-1 + 1e-7), F.least(F.lit(1 - 1e-7), cos))
+    moved = F.when(c > math.cos(math.pi - margin), c * math.cos(margin) - F.sqrt(1 - c * c) * math.sin(margin)).otherwise(c - math.sin(math.pi - margin) * margin)
+    return scale * F.when(own, moved).otherwise(c)

@@ -36,7 +36,7 @@ def retention_plan(sessions: DataFrame, now: Column) -> DataFrame:
     """The folders to delete, as rows (prefix, folder), of sessions(prefix, created_at, decision, committed).
 
     Ages are those of the manifest, or of the start where there is none, and have to be above the
-    limit. This only plans; deletion is a sink of its own (see sinks.delete_prefixes).
+    limit. This only plans; readers.deletion_plan turns it into keys.
     """
     age = now - F.col("created_at")
     over = lambda ttl: age > F.expr(ttl)
@@ -65,3 +65,14 @@ def thinned(points: DataFrame, most: int = 240) -> DataFrame:
     j = F.ceil(F.col("i") * most / F.col("n"))
     even = F.floor(j * F.col("n") / most) == F.col("i")
     return rows.where((F.col("n") <= most) | even | (F.col("i") == 0) | (F.col("i") == F.col("n") - 1) | (F.col("i") == F.col("peak")))
+
+
+def wrong_fields(rows: DataFrame, found: Column, truth: Column) -> DataFrame:
+    """Adds wrong: the names in truth whose value found hasn't, in order; all of them where nothing was found."""
+    names = F.sort_array(F.map_keys(truth))
+    return rows.withColumn("wrong", F.filter(names, lambda k: ~F.coalesce(F.try_element_at(found, k).eqNullSafe(F.element_at(truth, k)), F.lit(False))))
+
+
+def stage_timings(steps: DataFrame, *by: str) -> DataFrame:
+    """The time of each stage: the sum of its steps(stage, ms), to a tenth."""
+    return steps.groupBy(*by, "stage").agg(F.round(F.sum("ms"), 1).alias("ms"))

@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Stage = Callable[[DataFrame], DataFrame]
@@ -98,3 +98,26 @@ def answered(rows: DataFrame) -> DataFrame:
     table = F.create_map(*[x for k, v in STATUS.items() for x in (F.lit(k), F.lit(v))])
     status = F.when(F.col("error_code").isNull(), 200).otherwise(F.coalesce(F.try_element_at(table, F.col("error_code")), F.lit(500)))
     return rows.withColumns({"status": status, "decision": F.when(F.col("error_code").isNull(), F.col("decision"))})
+
+
+def answer_body() -> Column:
+    """The JSON body of an answered row(request_id, error_code, decision): the decision, or the error's code."""
+    fault = F.to_json(F.struct(F.struct(F.col("error_code").alias("code")).alias("error")))
+    return F.when(F.col("error_code").isNull(), F.to_json(F.struct("request_id", "decision"))).otherwise(fault)
+
+
+def log_line(request_id: Column, decision: Column, ms: Column) -> Column:
+    """A line for the log: ids, codes and times, never a person's data."""
+    return F.concat(F.lit("decision request_id="), request_id, F.lit(" decision="), decision, F.lit(" ms="), ms.cast("string"))
+
+
+#: The pictures of a request, in order.
+IMAGES = ("selfie", "licence_front", "licence_back", "vehicle")
+
+
+def upload_error(images: Column, most: int) -> Column:
+    """struct<code, field> for the pictures of a request (map<kind, content>): one above the limit, or else the first that is missing or empty; null if all are there."""
+    kind = "struct<code: string, field: string>"
+    said = lambda when, code, name: F.when(when, F.struct(F.lit(code).alias("code"), F.lit(name).alias("field")).cast(kind))
+    size = lambda name: F.coalesce(F.octet_length(F.try_element_at(images, F.lit(name))), F.lit(0))
+    return F.coalesce(*(said(size(n) > most, "IMAGE_TOO_LARGE", n) for n in IMAGES), *(said(size(n) == 0, "MISSING_FIELD", n) for n in IMAGES))

@@ -133,6 +133,34 @@ def percent_text(k: Column, n: Column, digits: int = 2) -> Column:
     return F.when(n > 0, F.format_string(f"%.{digits}f%% (%d/%d)", 100.0 * k / n, k, n)).otherwise(F.lit("n/a"))
 
 
+def interval_text(k: Column, n: Column, ends: Column) -> Column:
+    """k of n as a percentage with its interval struct<low, high>."""
+    return F.when(n > 0, F.format_string("%d/%d = %.2f%% (95%% CI %.2f-%.2f%%)", k, n, 100.0 * k / n, 100 * ends["low"], 100 * ends["high"])).otherwise(F.lit("0/0 (not measured)"))
+
+
+def disjoint(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """n_left, n_right, n_shared, n_left_only: how many keys two sets have, share, and only the left one has, in one aggregation by key."""
+    both = left.select(key, F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(right.select(key, F.lit(0).alias("l"), F.lit(1).alias("r")))
+    keys = both.groupBy(key).agg(F.max("l").alias("l"), F.max("r").alias("r"))
+    return keys.agg(F.count_if(F.col("l") == 1).alias("n_left"), F.count_if(F.col("r") == 1).alias("n_right"), F.count_if((F.col("l") == 1) & (F.col("r") == 1)).alias("n_shared"), F.count_if((F.col("l") == 1) & (F.col("r") == 0)).alias("n_left_only"))
+
+
+def drift(rows: DataFrame, before: str, after: str) -> DataFrame:
+    """max_drift, mean_change of one score against another."""
+    change = F.col(after) - F.col(before)
+    return rows.agg(F.max(F.abs(change)).alias("max_drift"), F.avg(change).alias("mean_change"))
+
+
+def adopted(sets: DataFrame, held: int, better: int, least: float = 0.002) -> DataFrame:
+    """Whether a new model replaces the old one, from sets(part, fa_new, fa_old, acc_new, acc_old)."""
+    rows = sets.agg(
+        F.bool_and(F.col("fa_new") <= F.col("fa_old")).alias("no_more_false_accepts"),
+        F.bool_and(F.when(F.col("part") == held, F.col("acc_new") >= F.col("acc_old") - least)).alias("no_drop"),
+        F.bool_and(F.when(F.col("part") == better, F.col("acc_new") > F.col("acc_old"))).alias("better"),
+    )
+    return rows.withColumn("adopted", F.col("no_more_false_accepts") & F.col("no_drop") & F.col("better"))
+
+
 def person_share(person: Column) -> Column:
     """A number from 0 to 0.999 that follows from the person's digest."""
     return (F.conv(F.substring(F.sha2(person.cast("binary"), 256), 1, 8), 16, 10).cast("bigint") % 1000) / 1000

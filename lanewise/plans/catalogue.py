@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lanewise.plans import evaluation, operations, streams, verification
+from lanewise.plans import evaluation, further, operations, streams, verification
 
-_MODULES = [verification, evaluation, operations, streams]
+_MODULES = [verification, evaluation, operations, streams, further]
 
 
 def queries() -> dict:
