@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lanewise.sources.folders import Workspace
+
 THRESHOLDS = (0.25, 0.30, 0.35, 0.40, 0.45, 0.50)
 FOLDS = 10
 #: The grid of thresholds of the fold accuracy: first value, step, number.
@@ -28,38 +30,64 @@ def error_rates(scores: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS) -
     return scores.agg(*counts).select("n_same", "n_different", F.explode(F.array(*rows)).alias("x")).select("x.threshold", "n_same", "n_different", "x.rejected", "x.accepted")
 
 
-def ranked_value(rows: DataFrame, column: str, rank: int, descending: bool = False) -> float | None:
-    """The value of a rank (from 0): by a total count per value, range by range, never a sort into one task."""
-    order = F.col(column).desc() if descending else F.col(column)
-    found = rows.where(F.col(column).isNotNull()).select(column).orderBy(order).limit(rank + 1) if rank < 10_000 else None
-    if found is not None:
-        top = found.agg(F.min(column) if descending else F.max(column), F.count("*")).first()
-        return top[0] if top[1] == rank + 1 else None
-    n = rows.where(F.col(column).isNotNull()).count()
-    if rank >= n:
-        return None
-    place = n - 1 - rank if descending else rank
-    return rows.agg(F.percentile(column, F.lit(place / max(1, n - 1)))).first()[0]
+def _in_parts(rows: DataFrame, by: list[str], order: str) -> tuple[DataFrame, DataFrame]:
+    """rows in range parts of (by, order), written once with the number of the part, and for each part the rows of its group before it and in all.
+
+    Only one number a part and group meets in a task, so ranks follow without sorting a group in one place.
+    """
+    parts = Workspace(rows.sparkSession, "ranks").keep(rows.repartitionByRange(*by, order).withColumn("_part", F.spark_partition_id()), "parts")
+    own = parts.groupBy(*by, "_part").agg(F.sum("_n").alias("_own"))
+    group = Window.partitionBy(*by)
+    sums = own.select(*by, "_part", (F.sum("_own").over(group.orderBy("_part")) - F.col("_own")).alias("_before"), F.sum("_own").over(group).alias("_all"))
+    return parts, sums
+
+
+def ranked(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """by, value, _n, _from, _all: each distinct value of a group with its rows, the rows with smaller values, and all rows; nulls are left out."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+    parts, sums = _in_parts(counts, by, value)
+    along = Window.partitionBy(*by, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return parts.withColumn("_upto", F.sum("_n").over(along)).join(F.broadcast(sums), [*by, "_part"]).select(*by, value, "_n", (F.col("_before") + F.col("_upto") - F.col("_n")).alias("_from"), "_all")
+
+
+def _has(rank: Column) -> Column:
+    """Whether the rank (from 0) is one of a ranked value's."""
+    return (F.col("_from") <= rank) & (rank < F.col("_from") + F.col("_n"))
 
 
 def threshold_for(scores: DataFrame, rate: float) -> DataFrame:
-    """threshold: the lowest one that accepts at most a share of the different pairs."""
-    other = scores.where(~F.col("same")).select("score")
-    n = other.count()
-    allowed = math.floor(rate * n)
-    value = ranked_value(other, "score", allowed, descending=True) if allowed < n else None
-    if value is None:
-        value = other.agg(F.min("score")).first()[0]
-        return scores.sparkSession.createDataFrame([(value,)], "threshold double")
-    return scores.sparkSession.createDataFrame([(value + 1e-9,)], "threshold double")
+    """threshold: the lowest one that accepts at most a share of the different pairs; no row without such pairs."""
+    rows = ranked(scores.where(~F.col("same")).select("score"), [], "score")
+    allowed = F.floor(F.lit(rate) * F.col("_all"))
+    rank = F.greatest(F.col("_all") - 1 - allowed, F.lit(0))
+    return rows.where(_has(rank)).select(F.when(allowed < F.col("_all"), F.col("score") + 1e-9).otherwise(F.col("score")).alias("threshold"))
+
+
+def quantile(rows: DataFrame, value: str, q: float) -> DataFrame:
+    """One row with the exact linear quantile of a column, from the two values around its place."""
+    place = F.lit(q) * (F.col("_all") - 1)
+    at = lambda rank: F.max(F.when(_has(rank), F.col(value)))
+    found = ranked(rows, [], value).agg(at(F.floor(place)).alias("low"), at(F.ceil(place)).alias("high"), F.max(place - F.floor(place)).alias("part"))
+    return found.select((F.col("low") + (F.col("high") - F.col("low")) * F.col("part")).alias("quantile"))
 
 
 def accepted_at_rate(scores: DataFrame, rate: float = 1e-3) -> DataFrame:
     """threshold, tar: the share of same pairs above the linear quantile of the different ones."""
-    cut = scores.where(~F.col("same")).agg(F.percentile("score", F.lit(1 - rate)).alias("threshold"))
+    cut = quantile(scores.where(~F.col("same")), "score", 1 - rate).withColumnRenamed("quantile", "threshold")
     return scores.where("same").crossJoin(F.broadcast(cut)).groupBy("threshold").agg(F.avg((F.col("score") > F.col("threshold")).cast("double")).alias("tar"))
 
 
+def in_folds(rows: DataFrame, order: str, folds: int) -> DataFrame:
+    """rows with fold, from 1: contiguous folds by order, of which the first ones are one row larger."""
+    parts, sums = _in_parts(rows.withColumn("_n", F.lit(1)), [], order)
+    along = Window.partitionBy("_part").orderBy(order)
+    placed = parts.withColumn("_i", F.row_number().over(along)).join(F.broadcast(sums), "_part")
+    i, size, more = F.col("_before") + F.col("_i") - 1, F.expr(f"_all div {folds}"), F.col("_all") % folds
+    large = more * (size + 1)
+    fold = F.when(i < large, F.floor(i / (size + 1))).otherwise(more + F.floor((i - large) / F.greatest(size, F.lit(1))))
+    return placed.select(*rows.columns, (fold + 1).cast("int").alias("fold"))
+
+
 def fold_accuracy(scores: DataFrame, folds: int = FOLDS) -> DataFrame:
     """fold, threshold, accuracy of scores(pair, same, score): each fold judged at the threshold that is best for the others, the lowest one on ties.
 
@@ -67,7 +95,7 @@ def fold_accuracy(scores: DataFrame, folds: int = FOLDS) -> DataFrame:
     grid points of a fold then give the correct decisions at every threshold.
     """
     first, step, size = GRID
-    spots = scores.select("pair", "same", "score", F.ntile(folds).over(Window.orderBy("pair")).alias("fold"))
+    spots = in_folds(scores.select("pair", "same", "score"), "pair", folds)
     # the last place i with first + i * step <= score, corrected for rounding at either side; -1 if there is none
     at = lambda i: F.lit(first) + i * F.lit(step)
     guess = F.floor((F.col("score") - first) / step).cast("int")
@@ -169,12 +197,8 @@ def person_share(person: Column) -> Column:
 def latency(rows: DataFrame, by: list[str], value: str, kind: str, q: float) -> DataFrame:
     """The value at a place of each group's sorted values; the place has three definitions: 'floor', 'trunc' and 'round' (half to even).
 
-    Ranks come from counts of equal values, so a group is reduced to its distinct values before it is ordered.
+    Ranks come from counts of equal values in range parts, so no group is ordered in one task.
     """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    group = Window.partitionBy(*by)
-    upto = F.sum("_n").over(group.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    n = F.sum("_n").over(group)
+    n = F.col("_all")
     place = {"floor": F.floor(F.lit(q) * (n - 1)), "trunc": F.least(n - 1, F.floor(F.lit(q) * n)), "round": F.bround(F.lit(q) * (n - 1))}[kind]
-    ranked = counts.withColumns({"_to": upto, "_at": place.cast("bigint")})
-    return ranked.where((F.col("_at") < F.col("_to")) & (F.col("_at") >= F.col("_to") - F.col("_n"))).select(*by, F.col(value).alias("latency"))
+    return ranked(rows, by, value).where(_has(place.cast("bigint"))).select(*by, F.col(value).alias("latency"))

@@ -112,3 +112,22 @@ def test_label_files(spark, tmp_path):
     (tmp_path / "a.txt").write_text("car.jpg 10 20 30 40 ABC123\n")
     (tmp_path / "b.txt").write_text("broken 1 2\n")
     assert [tuple(r) for r in readers.plate_labels(spark, str(tmp_path)).collect()] == [("car.jpg", 10, 20, 30, 40, "ABC123")]
+
+
+def test_ranks_beyond_one_part(spark):
+    """Places in 30,000 rows of few and many values, where the parts' borders fall anywhere."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    values = np.concatenate((rng.random(20_000), np.full(10_000, 0.5)))
+    df = spark.createDataFrame([(float(v), bool(i % 2), int(i)) for i, v in enumerate(values)], "score double, same boolean, pair int")
+    other = np.sort(values[::2])
+    for rate in (0.0, 0.05, 0.9, 1.0):
+        allowed = int(np.floor(rate * len(other)))
+        want = other[::-1][allowed] + 1e-9 if allowed < len(other) else other[0]
+        assert statistics.threshold_for(df, rate).first()[0] == want
+    assert statistics.quantile(df, "score", 0.37).first()[0] == pytest.approx(np.quantile(values, 0.37), abs=1e-15)
+    folds = {r["pair"]: r["fold"] for r in statistics.in_folds(df.where("pair % 3 = 0"), "pair", 7).collect()}
+    want = {int(p): f for f, part in enumerate(np.array_split(np.arange(0, len(values), 3), 7), 1) for p in part}
+    assert folds == want
+    assert statistics.threshold_for(df.limit(0), 0.1).count() == 0
