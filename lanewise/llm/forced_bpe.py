@@ -28,6 +28,8 @@ from .shared import released
 
 #: A table of known pieces is emptied when its keys and ids take about this many bytes; KEY_BYTES is what a key takes besides its letters.
 CACHE_BYTES, KEY_BYTES = 24 << 20, 150
+#: What a worker may hold of each table from task to task where encoding is all that it does; a bound in bytes as well.
+HOLD_BYTES = 100 << 20
 #: Rows are taken in slices of about this many bytes; a longer text is encoded in parts of as many characters, cut at white space.
 SLICE_BYTES = 1 << 19
 #: The normaliser and the splitter that this encoder reproduces; a file with others is refused.
@@ -52,17 +54,6 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(int(lengths.sum())) + np.repeat(starts - before, lengths)
 
 
-class _Slots(dict):
-    def __init__(self):
-        super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, key: str) -> int:
-        self.new.append(key)
-        self[key] = n = len(self)
-        return n
-
-
 Ids = tuple[np.ndarray, np.ndarray]
 
 
@@ -74,22 +65,32 @@ class Known:
         self.clear()
 
     def clear(self) -> None:
-        self.slots, self.pool, self.bytes = _Slots(), np.zeros(0, np.uint32), 0
-        self.start, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.slots: dict[str, int] = {}
+        self.pool, self.ids, self.bytes = np.zeros(1 << 10, np.uint32), 0, 0
+        self.start, self.length = np.zeros(1 << 8, np.int64), np.zeros(1 << 8, np.int64)
 
-    def full(self) -> bool:
-        return self.bytes > CACHE_BYTES
+    @staticmethod
+    def _grown(array: np.ndarray, size: int) -> np.ndarray:
+        """The array with room for size numbers; room doubles, so that adding costs what is added."""
+        return array if size <= len(array) else np.concatenate((array, np.zeros(max(size, 2 * len(array)) - len(array), array.dtype)))
+
+    def full(self, room: int = 0) -> bool:
+        return self.bytes > (room or CACHE_BYTES)
 
     def look_up(self, keys: list[str]) -> Ids:
         """All ids of the keys in order, and their number for each key."""
-        slot = np.fromiter(map(self.slots.__getitem__, keys), np.int64, len(keys))
-        if new := self.slots.new:
+        have, slots = len(self.slots), self.slots
+        if new := [k for k in dict.fromkeys(keys) if k not in slots]:
             ids, more = self.learn(new)
-            self.start = np.concatenate((self.start, len(self.pool) + np.cumsum(more) - more))
-            self.length = np.concatenate((self.length, more))
-            self.pool = np.concatenate((self.pool, ids))
+            slots.update(zip(new, range(have, have + len(new)), strict=True))
+            self.start, self.length = (self._grown(x, have + len(new)) for x in (self.start, self.length))
+            self.start[have : have + len(new)] = self.ids + np.cumsum(more) - more
+            self.length[have : have + len(new)] = more
+            self.pool = self._grown(self.pool, self.ids + len(ids))
+            self.pool[self.ids : self.ids + len(ids)] = ids
+            self.ids += len(ids)
             self.bytes += sum(map(len, new)) + KEY_BYTES * len(new) + 4 * len(ids)
-            self.slots.new = []
+        slot = np.fromiter(map(slots.__getitem__, keys), np.int64, len(keys))
         lengths = self.length[slot]
         return self.pool[ragged(self.start[slot], lengths)], lengths
 
@@ -171,7 +172,7 @@ class ForcedBoundary:
         self.shown_length = np.fromiter(map(len, shown), np.int64, len(shown))
         self.shown_start = np.cumsum(self.shown_length) - self.shown_length
         self.shown = np.frombuffer(b"".join(shown), np.uint8)
-        self.known_pieces, self.known_words = Known(self.encode_pieces), Known(self.encode_words)
+        self.known_pieces, self.known_words, self.room = Known(self.encode_pieces), Known(self.encode_words), 0
 
     @staticmethod
     def _byte_marks() -> dict[int, int]:
@@ -269,7 +270,7 @@ class ForcedBoundary:
 
     def _encode(self, texts: list[str]) -> Ids:
         for known in (self.known_pieces, self.known_words):
-            if known.full():
+            if known.full(self.room):
                 known.clear()
         rows = [split(t) for t in texts]
         ids, lengths = self.known_pieces.look_up(list(chain.from_iterable(rows)))
@@ -281,6 +282,11 @@ class ForcedBoundary:
         self.known_pieces.clear()
         self.known_words.clear()
 
+    def until_end(self, batches: Iterator[pa.RecordBatch], hold: int) -> Iterator[pa.RecordBatch]:
+        """The batches of a task, whose tables hold so many bytes each and stay for the next task; with 0 they are small and emptied at the end."""
+        self.room = hold
+        yield from released(batches, None if hold else self.forget)
+
     def decode(self, ids: np.ndarray) -> bytes:
         """The UTF-8 text that the library decodes the ids to: the tokens as they stand, joined by blanks."""
         if not len(ids):
@@ -318,17 +324,18 @@ def decode_column(ids: Column | str, path: str) -> Column:
     return decoded(ids)
 
 
-def round_trip(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, with_ids: bool = False, hold: int = 0) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids, the little-endian unsigned 32-bit ids) of each row of docs.
 
     Encodes each whole text and decodes the ids again in one pass. Repeated rows give repeated rows,
-    an empty table an empty one; columns besides doc_id and text are not read.
+    an empty table an empty one; columns besides doc_id and text are not read. hold says how many bytes
+    of each table of known pieces a worker may keep from task to task (see until_end); results are the same.
     """
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = forced_boundary(path)
-        for batch in released(batches, coder.forget):
+        for batch in coder.until_end(batches, hold):
             at = 0
             for rows in text_slices(batch.column(1)):
                 ids, ends = coder.encode(rows)

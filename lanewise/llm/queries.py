@@ -77,9 +77,9 @@ def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_forced_boundary_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    from .forced_bpe import round_trip
+    from .forced_bpe import HOLD_BYTES, round_trip
 
-    return round_trip(_table(spark, folder, "documents"), tokenizer_path())
+    return round_trip(_table(spark, folder, "documents"), tokenizer_path(), hold=HOLD_BYTES)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .forced_bpe import forced_boundary, text_slices
-from .shared import Workspace, open_fs, released
+from .forced_bpe import HOLD_BYTES, forced_boundary, text_slices
+from .shared import Workspace, open_fs
 
 BLOCK = 1024
 PERCENTILE = 95
@@ -188,7 +188,7 @@ def write_token_files(docs: DataFrame, path: str, to: str, end_id: int) -> list[
 
         name, out = f"{to}/part-{TaskContext.get().partitionId():06d}.pfor", None
         coder, ending = forced_boundary(path), np.array([end_id], np.uint32)
-        for batch in released(batches, coder.forget):
+        for batch in coder.until_end(batches, HOLD_BYTES):
             at, doc_ids = 0, batch.column(0).to_pylist()
             for rows in text_slices(batch.column(1)):
                 out = out or TokenFileWriter(name)
