@@ -15,7 +15,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +57,14 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 Ids = tuple[np.ndarray, np.ndarray]
 
 
+class Places(dict):
+    """The place of each key in the order in which keys are first asked for."""
+
+    def __missing__(self, key: str) -> int:
+        place = self[key] = len(self)
+        return place
+
+
 class Known:
     """The ids of the keys met so far, in one array; learn(keys) gives the ids and their number for each of new ones."""
 
@@ -65,7 +73,7 @@ class Known:
         self.clear()
 
     def clear(self) -> None:
-        self.slots: dict[str, int] = {}
+        self.slots = Places()
         self.pool, self.ids, self.bytes = np.zeros(1 << 10, np.uint32), 0, 0
         self.start, self.length = np.zeros(1 << 8, np.int64), np.zeros(1 << 8, np.int64)
 
@@ -77,20 +85,29 @@ class Known:
     def full(self, room: int = 0) -> bool:
         return self.bytes > (room or CACHE_BYTES)
 
-    def look_up(self, keys: list[str]) -> Ids:
-        """All ids of the keys in order, and their number for each key."""
-        have, slots = len(self.slots), self.slots
-        if new := [k for k in dict.fromkeys(keys) if k not in slots]:
+    def _add(self, new: list[str]) -> None:
+        """Learns the keys that were given the last places; a table that can't is emptied."""
+        have = len(self.slots) - len(new)
+        try:
             ids, more = self.learn(new)
-            slots.update(zip(new, range(have, have + len(new)), strict=True))
-            self.start, self.length = (self._grown(x, have + len(new)) for x in (self.start, self.length))
-            self.start[have : have + len(new)] = self.ids + np.cumsum(more) - more
-            self.length[have : have + len(new)] = more
-            self.pool = self._grown(self.pool, self.ids + len(ids))
-            self.pool[self.ids : self.ids + len(ids)] = ids
-            self.ids += len(ids)
-            self.bytes += sum(map(len, new)) + KEY_BYTES * len(new) + 4 * len(ids)
-        slot = np.fromiter(map(slots.__getitem__, keys), np.int64, len(keys))
+        except BaseException:
+            self.clear()
+            raise
+        self.start, self.length = (self._grown(x, have + len(new)) for x in (self.start, self.length))
+        self.start[have : have + len(new)] = self.ids + np.cumsum(more) - more
+        self.length[have : have + len(new)] = more
+        self.pool = self._grown(self.pool, self.ids + len(ids))
+        self.pool[self.ids : self.ids + len(ids)] = ids
+        self.ids += len(ids)
+        self.bytes += sum(map(len, new)) + KEY_BYTES * len(new) + 4 * len(ids)
+
+    def look_up(self, keys: list[str], places: np.ndarray | None = None) -> Ids:
+        """All ids of the keys in order, and their number for each key; with places, of keys[p] for each place p."""
+        have = len(self.slots)
+        slot = np.fromiter(map(self.slots.__getitem__, keys), np.int64, len(keys))
+        if more := len(self.slots) - have:
+            self._add(list(islice(reversed(self.slots), more))[::-1])
+        slot = slot if places is None else slot[places]
         lengths = self.length[slot]
         return self.pool[ragged(self.start[slot], lengths)], lengths
 
@@ -100,9 +117,17 @@ def flat(rows: list[list[int]]) -> Ids:
     return np.fromiter(chain.from_iterable(rows), np.uint32, int(lengths.sum())), lengths
 
 
-def split(text: str) -> list[str]:
-    """The pieces between white space; str.split() also splits at the four information separators, which are none to the tokenizer."""
-    return text.replace("\n", " ").split(" ") if _INFO.search(text) else text.split()
+def split(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """The pieces between white space of all texts, as an array with a dictionary, and the row offsets; pieces may be empty.
+
+    Arrow also splits at the four information separators, which are no white space to the tokenizer; texts that
+    hold one are split at blanks and line feeds alone, and their pieces may hold other white space.
+    """
+    if any(map(_INFO.search, texts)):
+        found = pc.split_pattern(pa.array([t.replace("\n", " ") for t in texts], pa.string()), " ")
+    else:
+        found = pc.utf8_split_whitespace(pa.array(texts, pa.string()))
+    return found.flatten().dictionary_encode(), found.offsets.to_numpy()
 
 
 def text_slices(texts: pa.Array) -> Iterator[list[str]]:
@@ -272,10 +297,9 @@ class ForcedBoundary:
         for known in (self.known_pieces, self.known_words):
             if known.full(self.room):
                 known.clear()
-        rows = [split(t) for t in texts]
-        ids, lengths = self.known_pieces.look_up(list(chain.from_iterable(rows)))
-        pieces = np.cumsum([0, *map(len, rows)])
-        return ids, np.concatenate(([0], np.cumsum(lengths)))[pieces]
+        pieces, offsets = split(texts)
+        ids, lengths = self.known_pieces.look_up(pieces.dictionary.to_numpy(zero_copy_only=False).tolist(), pieces.indices.to_numpy())
+        return ids, np.concatenate(([0], np.cumsum(lengths)))[offsets]
 
     def forget(self) -> None:
         """Empties the tables of known pieces; they are filled anew by the next task."""
