@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from lanewise.functions import barcode, dates, text
 from lanewise.operators import dimensions
+from lanewise.operators.settings import Rules
 
 ADVISORIES = ("COLOUR_MISMATCH", "COLOUR_UNVERIFIED", "LICENCE_FORMAT_UNUSUAL", "LIVENESS_SKIPPED_DEV")
-#: Pass marks: faces alike, live person, plate read; a second selfie face of this score and share of the largest's area.
-FACE_PASS, LIVE_PASS, PLATE_PASS = 0.35, 0.5, 0.6
+#: A second selfie face of this score and share of the largest's area.
 SECOND_SCORE, SECOND_AREA = 0.9, 0.25
 
 
@@ -26,7 +26,7 @@ def with_record(claims: DataFrame) -> DataFrame:
     return claims.withColumn("record", barcode.parse_barcode(F.col("barcode_text")))
 
 
-def with_gates(claims: DataFrame, now: Column) -> DataFrame:
+def with_gates(claims: DataFrame, now: Column, rules: Rules = Rules()) -> DataFrame:
     """Adds barcode_reasons, barcode_advisories and checks to claims with a record, on the small jurisdiction table.
 
     Columns read: full_name, date_of_birth, licence_number, issuing_province, licence_class,
@@ -43,7 +43,7 @@ def with_gates(claims: DataFrame, now: Column) -> DataFrame:
     raw = lambda k: F.nullif(barcode.element(fields, k), F.lit(""))
     rows = rows.withColumns({"_daq": text.normal_licence(raw("DAQ")), "_name": barcode.full_name(fields), "_class": text.normal_class(raw("DCA"))})
     rows = rows.withColumns({"_dob": barcode.element_date(fields, "DBB"), "_issued": barcode.element_date(fields, "DBD"), "_expiry": barcode.element_date(fields, "DBA")})
-    rows = rows.withColumns({"_match": text.match_names(F.col("full_name"), F.col("_name")), "_today": dates.local_day(now, F.col("tz"))})
+    rows = rows.withColumns({"_match": text.match_names(F.col("full_name"), F.col("_name"), rules.name_pass), "_today": dates.local_day(now, F.col("tz"))})
 
     same_province = _is((F.col("_iin_province") == F.col("_daj")) & (F.col("_daj") == F.col("_claimed")))
     known = F.col("_of").isNotNull()
@@ -62,14 +62,14 @@ def with_gates(claims: DataFrame, now: Column) -> DataFrame:
         shown = F.struct(
             F.lit(field).alias("field"), claimed.alias("claimed"), decoded.alias("decoded"),
             F.round(F.when(passed, 100.0).otherwise(0.0) if score is None else score, 1).alias("score"),
-            F.lit(100.0 if score is None else text.NAME_PASS).alias("threshold"), passed.alias("passed"),
+            F.lit(100.0 if score is None else rules.name_pass).alias("threshold"), passed.alias("passed"),
         )
         checks.append(shown if i == 0 else F.when(known, shown))
         reasons.append(F.when(~passed & (F.lit(True) if i == 0 else known), code))
     reasons += [
         F.when(known & (F.col("_expiry").isNull() | (F.col("_today") > F.col("_expiry"))), "LICENCE_EXPIRED"),
         F.when(known & _is(F.col("_issued") > F.col("_today")), "LICENCE_NOT_YET_VALID"),
-        F.when(known & _is(dates.age_on(F.col("_dob"), F.col("_today")) < dimensions.MIN_AGE), "UNDERAGE"),
+        F.when(known & _is(dates.age_on(F.col("_dob"), F.col("_today")) < rules.min_age), "UNDERAGE"),
     ]
     odd = known & (F.col("_daq") != "") & ~_is(F.rlike("_daq", F.col("licence_pattern")))
     parsed, none = F.col("record").isNotNull(), F.array().cast("array<string>")
@@ -97,17 +97,17 @@ def selfie_reason(faces: Column) -> Column:
     return F.when(F.coalesce(F.size(faces), F.lit(0)) <= 0, "FACE_NOT_FOUND_SELFIE").when(crowd, "IMAGE_QUALITY")
 
 
-def with_face(rows: DataFrame) -> DataFrame:
+def with_face(rows: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """Adds face_reasons from selfie_faces, licence_faces, liveness and similarity (both scores from model outputs)."""
     selfie = selfie_reason(F.col("selfie_faces"))
     first = F.array_compact(
         F.array(
             selfie,
-            F.when(selfie.isNull() & ~_is(F.col("liveness") >= LIVE_PASS), "LIVENESS_FAILED"),
+            F.when(selfie.isNull() & ~_is(F.col("liveness") >= rules.live_pass), "LIVENESS_FAILED"),
             F.when(F.coalesce(F.size("licence_faces"), F.lit(0)) <= 0, "FACE_NOT_FOUND_LICENCE"),
         )
     )
-    unlike = F.when(_is(F.col("similarity") >= FACE_PASS), F.array().cast("array<string>")).otherwise(F.array(F.lit("FACE_MISMATCH")))
+    unlike = F.when(_is(F.col("similarity") >= rules.face_pass), F.array().cast("array<string>")).otherwise(F.array(F.lit("FACE_MISMATCH")))
     return rows.withColumn("face_reasons", F.when(F.size(first) > 0, first).otherwise(unlike))
 
 
@@ -120,10 +120,10 @@ def colour_family(claimed: Column) -> Column:
     return F.when(light, F.array(F.lit("Light Blue"))).when(F.size(family) > 0, family)
 
 
-def with_vehicle(rows: DataFrame) -> DataFrame:
+def with_vehicle(rows: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """Adds vehicle_reasons and vehicle_advisories from plate_found, plate_read, plate_confidence, plate_number, colour and vehicle_colour."""
     found = _is(F.col("plate_found"))
-    unsure = (text.blank(F.col("plate_read")) == "") | ~_is(F.col("plate_confidence") >= PLATE_PASS)
+    unsure = (text.blank(F.col("plate_read")) == "") | ~_is(F.col("plate_confidence") >= rules.plate_pass)
     reason = F.when(~found, "PLATE_NOT_FOUND").when(unsure, "PLATE_UNREADABLE").when(~_is(text.match_plates(F.col("plate_read"), F.col("plate_number"))), "PLATE_MISMATCH")
     family = colour_family(F.col("vehicle_colour"))
     advice = F.when(F.col("colour").isNull() | family.isNull(), "COLOUR_UNVERIFIED").when(~F.array_contains(family, F.col("colour")), "COLOUR_MISMATCH")

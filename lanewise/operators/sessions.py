@@ -36,7 +36,7 @@ def retention_plan(sessions: DataFrame, now: Column) -> DataFrame:
     """The folders to delete, as rows (prefix, folder), of sessions(prefix, created_at, decision, committed).
 
     Ages are those of the manifest, or of the start where there is none, and have to be above the
-    limit. This only plans; readers.deletion_plan turns it into keys.
+    limit. This only plans; blobs.sweep carries a plan out.
     """
     age = now - F.col("created_at")
     over = lambda ttl: age > F.expr(ttl)

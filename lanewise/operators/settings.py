@@ -1,79 +1,45 @@
-"""Settings with their bounds; they are turned into literals of a plan and never into a table."""
+"""The marks that the rules of the gates read, and the keys of the store; both are literals of a plan, never a table."""
 
 from __future__ import annotations
 
 import base64
-import binascii
-import re
-from dataclasses import dataclass, fields
+import dataclasses
+from collections.abc import Mapping
 
-#: Least and largest value, and whether each bound itself is allowed.
-BOUNDS = {
-    "face_match_threshold": (0.2, 0.95, True),
-    "face_detect_score": (0, 1, False),
-    "liveness_threshold": (0, 1, False),
-    "name_match_threshold": (50, 100, True),
-    "min_age": (16, 100, True),
-    "plate_detect_score": (0, 1, False),
-    "max_text_chars": (20, 1000, True),
-}
-KEY_BYTES, LEAST_API_KEY = 32, 24
+from lanewise.functions.text import NAME_PASS
+from lanewise.operators.dimensions import MIN_AGE
 
+# Where each mark may lie, ends included; shares lie strictly inside 0 and 1.
+CLOSED = {"name_pass": (50, 100), "min_age": (16, 100), "face_pass": (0.2, 0.95)}
+SHARES = ("live_pass",)
+KEY_BYTES = 32
 
-@dataclass(frozen=True)
-class Settings:
-    """Sound by construction: a wrong value raises ValueError that names it."""
 
-    storage_root: str
-    storage_key_b64: str
-    manifest_key_b64: str
-    env: str = "dev"
-    api_key: str | None = None
-    liveness_model: str | None = None
-    dev_skip_liveness: bool = False
-    face_match_threshold: float = 0.35
-    face_detect_score: float = 0.7
-    liveness_threshold: float = 0.5
-    name_match_threshold: float = 90.0
-    min_age: int = 18
-    plate_detect_score: float = 0.35
-    plate_min_confidence: float = 0.6
-    max_text_chars: int = 200
-    max_upload_bytes: int = 10_000_000
-    max_image_side: int = 2048
-    compressed_max_side: int = 1280
-    rejected_images_ttl_h: int = 72
-    approved_originals_ttl_d: int = 30
+@dataclasses.dataclass(frozen=True)
+class Rules:
+    """Pass marks of a name, a face, a live person and a plate, and the least age; wrong ones raise ValueError."""
+
+    name_pass: float = NAME_PASS
+    min_age: int = MIN_AGE
+    face_pass: float = 0.35
+    live_pass: float = 0.5
+    plate_pass: float = 0.6
 
     def __post_init__(self):
-        if self.env not in ("dev", "production"):
-            raise ValueError("env is dev or production")
-        for name, (low, high, closed) in BOUNDS.items():
-            value = getattr(self, name)
-            if not (low <= value <= high if closed else low < value < high):
-                raise ValueError(f"{name} is out of bounds")
-        for name in ("storage_key_b64", "manifest_key_b64"):
-            try:
-                raw = base64.b64decode(getattr(self, name), validate=True)
-            except (binascii.Error, ValueError) as e:
-                raise ValueError(f"{name} is no base64") from e
-            if len(raw) != KEY_BYTES:
-                raise ValueError(f"{name} has {len(raw)} bytes")
-        if any(p.lower() == "onedrive" or p.lower().startswith("onedrive - ") for p in re.split(r"[\\/]", self.storage_root)):
-            raise ValueError("storage_root is in a synchronised folder")
-        if self.env == "production":
-            if len(self.api_key or "") < LEAST_API_KEY:
-                raise ValueError(f"production needs an api_key of {LEAST_API_KEY} characters")
-            if self.dev_skip_liveness or not self.liveness_model:
-                raise ValueError("production needs a liveness model")
+        wrong = [n for n, (a, b) in CLOSED.items() if not a <= getattr(self, n) <= b] + [n for n in SHARES if not 0 < getattr(self, n) < 1]
+        if wrong:
+            raise ValueError(f"out of bounds: {', '.join(wrong)}")
 
     @classmethod
-    def of(cls, values: dict[str, str], prefix: str) -> Settings:
-        """From text values such as a process environment's, whose names begin with a prefix; blank ones count as unset."""
-        kinds = {"float": float, "int": int, "bool": lambda v: v.strip().lower() in ("1", "true", "yes", "on")}
-        given = {}
-        for f in fields(cls):
-            value = values.get(f"{prefix}{f.name}".upper(), "")
-            if value.strip():
-                given[f.name] = kinds.get(str(f.type), str)(value)
-        return cls(**given)
+    def read(cls, given: Mapping[str, str], prefix: str = "") -> Rules:
+        """From texts by name; names are read in capitals behind the prefix, blank texts and other names count as not given."""
+        texts = {f: given.get((prefix + f.name).upper(), "").strip() for f in dataclasses.fields(cls)}
+        return cls(**{f.name: type(f.default)(t) for f, t in texts.items() if t})
+
+
+def key_of(encoded: str) -> bytes:
+    """A key's bytes from Base64; one of another length is refused."""
+    key = base64.b64decode(encoded, validate=True)
+    if len(key) != KEY_BYTES:
+        raise ValueError(f"a key of {len(key)} bytes")
+    return key

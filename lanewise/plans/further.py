@@ -9,7 +9,7 @@ from lanewise.functions import barcode, text, vectors
 from lanewise.operators import gates, sessions, stages, statistics
 from lanewise.plans.evaluation import _E, _P, _pairs
 from lanewise.plans.verification import _DOC_NAME, _F, _names_sql
-from lanewise.sources import fixtures, readers
+from lanewise.sources import blobs, fixtures, readers
 from lanewise.sources.fixtures import read
 from lanewise.sources.folders import Workspace
 
@@ -274,6 +274,31 @@ def incomplete_sessions(spark: SparkSession, folder: str) -> DataFrame:
     return readers.incomplete(e.select("prefix"), spark.read.parquet(f"{at}/manifests")).select("prefix")
 
 
+_STORE_KEY, _STORE_FOLDERS = b"s" * 32, ("originals", "cropped", "records")
+
+
+def _stored(spark: SparkSession, folder: str, at: str) -> DataFrame:
+    """A session of three sealed files for each nation, and the plan that deletes every third one and the originals of every other third."""
+    n = read(spark, folder, "nation").select(F.col("n_nationkey").alias("k"), F.concat(F.lit("sessions/r"), F.col("n_regionkey").cast("string"), F.lit("/n"), F.col("n_nationkey").cast("string")).alias("prefix"), "n_name")
+    files = n.select(F.explode(F.array(*map(F.lit, _STORE_FOLDERS))).alias("f"), "prefix", "n_name").select(F.concat_ws("/", "prefix", "f", F.lit("a")).alias("path"), F.encode("n_name", "utf-8").alias("content"))
+    blobs.put(files, f"{at}/store", F.lit(_STORE_KEY), "t1")
+    return n.where("k % 3 < 2").select("prefix", F.when(F.col("k") % 3 == 0, "").otherwise("originals").alias("folder"))
+
+
+def store_survivors(spark: SparkSession, folder: str) -> DataFrame:
+    """What a sweep leaves of a sealed store, opened again."""
+    at = Workspace(spark, "store").path
+    blobs.sweep(_stored(spark, folder, at), f"{at}/store", f"{at}/swept").collect()
+    rows = blobs.keys(spark, f"{at}/store").join(blobs.contents(spark, f"{at}/store", F.lit(_STORE_KEY), "t1").withColumnRenamed("path", "key"), "key", "left")
+    return rows.select("key", F.decode("content", "utf-8").alias("content"))
+
+
+def sweep_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """The sessions, folders and files that a sweep deletes."""
+    at = Workspace(spark, "swept").path
+    return blobs.sweep(_stored(spark, folder, at), f"{at}/store", f"{at}/swept")
+
+
 def interval_sql(k: str, n: str, at_least: str, value: str) -> str:
     """The probability at which at_least of n or more happen with a chance of value, by halving, in DuckDB."""
     tail = f"list_sum(list_transform(range({at_least}, {n} + 1), lambda i: exp(lgamma({n} + 1) - lgamma(i + 1) - lgamma({n} - i + 1) + i * ln((s[1] + s[2]) / 2) + ({n} - i) * ln(1 - (s[1] + s[2]) / 2))))"
@@ -352,6 +377,9 @@ ORACLES = {
     "json_truth": _F + " SELECT request_id, daq FROM f",
     "rejected_pair_folds": _P + " SELECT pair, score, pair // 600 AS fold FROM p WHERE same AND score < 0.45",
     "plate_labels": "SELECT n_nationkey || '.jpg' AS image, n_nationkey::INT AS x, 2 AS y, 30 AS w, 40 AS h, 'AB' || n_nationkey AS plate FROM nation WHERE n_nationkey % 5 <> 0",
+    "store_survivors": """SELECT 'sessions/r' || n_regionkey || '/n' || n_nationkey || '/' || f || '/a' AS key, n_name AS content
+        FROM nation, (VALUES ('originals'), ('cropped'), ('records')) v(f) WHERE n_nationkey % 3 <> 0 AND NOT (n_nationkey % 3 = 1 AND f = 'originals')""",
+    "sweep_counts": "SELECT count(*) AS n_sessions, count(*) AS n_folders, sum(CASE WHEN n_nationkey % 3 = 0 THEN 3 ELSE 1 END)::BIGINT AS n_files FROM nation WHERE n_nationkey % 3 < 2",
     "incomplete_sessions": "SELECT 'sessions/' || user_id || '/' || event_id AS prefix FROM events WHERE event_id % 6 = 0",
 }
 QUERIES = {name: globals()[name] for name in ORACLES if name != "clopper_pearson_report"}

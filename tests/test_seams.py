@@ -5,23 +5,50 @@ import pytest
 from pyspark.sql import functions as F
 
 from lanewise.functions import vectors
-from lanewise.operators import stages
-from lanewise.operators.settings import Settings
+from lanewise.operators import gates, stages
+from lanewise.operators.settings import Rules, key_of
+from lanewise.sources import blobs
 
-KEY = base64.b64encode(b"k" * 32).decode()
-GOOD = {"storage_root": "/data", "storage_key_b64": KEY, "manifest_key_b64": KEY}
 
+@pytest.mark.parametrize("wrong", [{"face_pass": 0.1}, {"min_age": 15}, {"name_pass": 101}, {"live_pass": 1.0}])
+def test_wrong_marks(wrong):
+    with pytest.raises(ValueError, match=next(iter(wrong))):
+        Rules(**wrong)
 
-@pytest.mark.parametrize("wrong", [{"face_match_threshold": 0.1}, {"min_age": 15}, {"storage_key_b64": "x"}, {"manifest_key_b64": "AAAA"}, {"storage_root": "C:\\OneDrive - X\\d"}, {"env": "production"}, {"liveness_threshold": 1.0}])
-def test_wrong_settings(wrong):
-    Settings(**GOOD)
+
+def test_marks_from_text():
+    assert Rules.read({"X_MIN_AGE": "21", "X_FACE_PASS": " ", "X_OTHER": "1"}, "X_") == Rules(min_age=21)
+
+
+@pytest.mark.parametrize("size", [0, 31, 33])
+def test_keys_of_another_length(size):
+    assert key_of(base64.b64encode(b"k" * 32).decode()) == b"k" * 32
     with pytest.raises(ValueError):
-        Settings(**GOOD | wrong)
+        key_of(base64.b64encode(b"k" * size).decode())
+
+
+def test_marks_govern_the_gates(spark):
+    rows = spark.createDataFrame([(0.4,)], "similarity double").selectExpr("*", "0.9D as liveness", "array(named_struct('score', 0.9D, 'x', 0, 'y', 0, 'w', 9, 'h', 9)) as selfie_faces").withColumn("licence_faces", F.col("selfie_faces"))
+    assert [gates.with_face(rows, Rules(face_pass=p)).first()["face_reasons"] for p in (0.35, 0.41)] == [[], ["FACE_MISMATCH"]]
+
+
+@pytest.mark.parametrize("prefix", ["", None, "a/../b", "a//b"])
+def test_unsafe_prefixes_delete_nothing(spark, tmp_path, prefix):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x").write_bytes(b"x")
+    with pytest.raises(Exception, match="not a prefix"):
+        blobs.delete_prefixes(spark.createDataFrame([(prefix,)], "prefix string"), f"file://{tmp_path}").collect()
+    assert (tmp_path / "a" / "x").exists()
 
 
-def test_settings_from_text():
-    got = Settings.of({"X_STORAGE_ROOT": "/d", "X_STORAGE_KEY_B64": KEY, "X_MANIFEST_KEY_B64": KEY, "X_MIN_AGE": "21", "X_API_KEY": " "}, "X_")
-    assert (got.min_age, got.api_key) == (21, None)
+def test_deletion_takes_temporary_files_and_keeps_to_segments(spark, tmp_path):
+    for name in ("s/r/originals/a", "s/r/originals/a.tmp", "s/r2/a", "s/r/record"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"x")
+    rows = spark.createDataFrame([("s/r/originals",), ("s/none",), ("s/r/originals",)], "prefix string")
+    got = {tuple(r) for r in blobs.delete_prefixes(rows, f"file://{tmp_path}").collect()}
+    assert got == {("s/r/originals", 1), ("s/none", 0)}
+    assert sorted(r[0] for r in blobs.keys(spark, f"file://{tmp_path}").collect()) == ["s/r/record", "s/r2/a"]
 
 
 def test_model_step_runs_only_where_asked(spark):
