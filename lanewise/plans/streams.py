@@ -14,7 +14,7 @@ def stream_counters(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stream_window_stats(spark: SparkSession, folder: str) -> DataFrame:
-    return live.drained(live.window_stats(live.events(spark, folder)), shared_folder(spark, "windows"))
+    return live.drained(live.window_stats(live.events(spark, folder)), shared_folder(spark, "windows"), "update", ["start", "event_type"])
 
 
 def stream_sessions(spark: SparkSession, folder: str) -> DataFrame:

@@ -28,14 +28,14 @@ def counters(rows: DataFrame) -> DataFrame:
 
 
 def window_stats(rows: DataFrame, late: str = "1 hour", length: str = "1 day") -> DataFrame:
-    """Counts and extremes in windows of event time; rows later than the watermark are left out."""
+    """Counts and extremes in windows of event time; in update and append mode rows later than the watermark are left out and their windows' state is freed."""
     span = F.window("ts", length)
     found = rows.withWatermark("ts", late).groupBy(span, "event_type").agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
     return found.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "low", "high")
 
 
 def user_sessions(rows: DataFrame, gap: str = "6 hours", late: str = "1 day") -> DataFrame:
-    """Runs of a user's events without a longer gap."""
+    """Runs of a user's events without a longer gap. Spark has no update mode for them: append gives a run once the watermark has passed it, complete mode all runs, whose state then stays."""
     found = rows.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
     return found.select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("start"), "n")
 
@@ -87,14 +87,21 @@ def idempotent_sink(path: str):
     return write
 
 
-def drained(rows: DataFrame, path: str, mode: str = "complete") -> DataFrame:
-    """Runs the stream over all input that there is, below the shared folder path, and returns its final rows."""
+def latest(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The last version of each key of rows that an updating stream wrote, by their batch."""
+    rest = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("last")).select(*keys, "last.*")
+
+
+def drained(rows: DataFrame, path: str, mode: str = "complete", keys: list[str] | None = None) -> DataFrame:
+    """Runs the stream over all input that there is, below the shared folder path, and returns its final rows; in update mode the last of each of keys."""
     spark = rows.sparkSession
     sink = f"{path}/rows"
-    if mode == "append":
+    if mode in ("append", "update"):
         query = rows.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{path}/state").foreachBatch(idempotent_sink(sink)).start()
         query.awaitTermination()
-        return spark.read.schema(rows.schema).parquet(sink).select(*rows.columns)
+        found = spark.read.schema(rows.schema).parquet(sink)
+        return (found if mode == "append" else latest(found, keys or [])).select(*rows.columns)
 
     def replace(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(sink)
