@@ -14,12 +14,14 @@ probability (1 - 0.8**4)**24 = 3e-6, and fewer than one in 1e8 falls below the a
 
 Large buckets and groups are taken in two rounds. First every member meets the group's leader, chunk
 by chunk, which joins copies of one text in time that grows with their number. What is left over then
-meets all members, so that no link is lost; of a very large bucket the left-over members are first told
-apart by a second band, which a similar pair misses with probability (1 - 0.8**4)**23 = 5e-6.
+meets all members, so that no link is lost. Where very many are left over they meet by blocks of
+registers instead, one more than a pair at the agreement floor can differ in: every such pair has a
+block in common, so both ways give the same links.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,8 +41,9 @@ SIMILARITY = 0.8
 FLOOR = 0.55
 #: Documents of a chunk of a bucket or of a candidate group, and bytes of text of a chunk of a group; two chunks meet in a task.
 BUCKET_CHUNK, GROUP_CHUNK, CHUNK_BYTES = 2048, 512, 4 << 20
-#: Left-over members of larger buckets are told apart by a second band.
+#: Left-over members beyond so many of a bucket meet by blocks of registers; a pair that agrees in FLOOR of them has one of these in common.
 DEEP_BUCKET = 4096
+BLOCKS = REGISTERS - math.ceil(FLOOR * REGISTERS) + 1
 _U = np.uint64
 
 
@@ -288,6 +291,12 @@ def _against_all(rest: DataFrame, everyone: DataFrame, key: str, own: Column, ch
     return left.unionByName(right)
 
 
+def _blocks(sig: Column) -> Column:
+    """The bytes of each of BLOCKS runs of registers, with the run's number."""
+    cuts = [k * REGISTERS // BLOCKS for k in range(BLOCKS + 1)]
+    return F.array(*[F.struct(F.lit(k).alias("k"), F.substring(sig, a + 1, b - a).alias("part")) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))])
+
+
 def _candidates(work: Workspace, reps: DataFrame, keyed: DataFrame, name: str, deep: bool = True) -> list[DataFrame]:
     """Tables of edges (a, b) that join the nodes of each bucket of keyed(node, key) that agree in enough registers."""
     buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("b"), F.max("node").alias("node")).where("n > 1")
@@ -311,17 +320,17 @@ def _candidates(work: Workspace, reps: DataFrame, keyed: DataFrame, name: str, d
     rest = told.where("not same and n > 2")
     counts = rest.groupBy("key").agg(F.max("n").alias("n"), F.count("*").alias("m"))
     counts = work.keep(counts, f"{name}-counts")
-    size = counts.agg(F.sum("n"), F.max(F.when(F.col("n") > DEEP_BUCKET, F.col("n")))).first()
+    size = counts.agg(F.sum("n"), F.max("m")).first()
     if not size[0]:
         return found
-    if size[1] and deep:
-        # these share a bucket by chance for the most part, so a second band is asked for
-        large = counts.where(F.col("n") > DEEP_BUCKET)
-        again = attach(keyed, large.select("key", "n"), ["key"], size[0]).join(reps.select("node", "bands"), "node")
-        again = again.select("node", "key", F.explode("bands").alias("other")).where("other <> key")
-        again = work.keep(again.select("node", F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key")), f"{name}-deeper")
+    if deep and size[1] > DEEP_BUCKET:
+        # these share a bucket by chance for the most part, so few of them share a block of registers as well
+        large = counts.where(F.col("m") > DEEP_BUCKET)
+        again = attach(keyed, large.select("key", "n"), ["key"], size[0]).join(reps.select("node", "sig"), "node")
+        again = again.select("node", "key", F.explode(_blocks(F.col("sig"))).alias("x"))
+        again = work.keep(again.select("node", F.xxhash64("key", "x.k", "x.part").alias("key")), f"{name}-deeper")
         found += _candidates(work, reps, again, f"{name}-deep", deep=False)
-        counts = counts.where(F.col("n") <= DEEP_BUCKET)
+        counts = counts.where(F.col("m") <= DEEP_BUCKET)
     everyone = attach(keyed, counts.select("key", "n", "m"), ["key"], size[0])
     left = attach(rest.select("key", "node"), counts.select("key", "n", "m"), ["key"], size[0])
     met = _against_all(left, everyone, "key", F.xxhash64("node"), chunks_of(BUCKET_CHUNK), chunks_of(BUCKET_CHUNK, "m"))

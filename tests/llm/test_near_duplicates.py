@@ -141,6 +141,24 @@ def vectors():
     return [[float(np.float32(x)) for x in v] for v in rows]
 
 
+def test_links_do_not_depend_on_how_many_share_a_bucket(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    sig = rng.integers(0, 256, (24, bagminhash.REGISTERS), dtype=np.uint8)
+    places = rng.permutation(bagminhash.REGISTERS)
+    # all share one band and no second one; pairs agree in 60 registers, at the floor and one below it
+    for x, y, most in ((5, 9, 60), (6, 10, 53), (7, 11, 52)):
+        sig[y, places[:most]] = sig[x, places[:most]]
+    rows = [(k, bytearray(x.tobytes()), [77, *(1000 * k + b for b in range(1, bagminhash.BANDS))]) for k, x in enumerate(sig)]
+    reps = spark.createDataFrame(rows, "node bigint, sig binary, bands array<bigint>")
+    got = {}
+    for most in (1000, 8):
+        monkeypatch.setattr(bagminhash, "DEEP_BUCKET", most)
+        tables = bagminhash._candidates(Workspace(spark, "test"), reps, reps.selectExpr("node", "explode(bands) AS key"), "band")
+        got[most] = {(min(r), max(r)) for t in tables for r in map(tuple, t.select("a", "b").collect()) if r[0] != r[1]}
+    agree = {(i, j) for i, j in itertools.combinations(range(len(sig)), 2) if (sig[i] == sig[j]).sum() >= bagminhash.FLOOR * bagminhash.REGISTERS}
+    assert got[1000] == got[8] == agree == {(5, 9), (6, 10)}
+
+
 def test_vectors_by_brute_force(spark, monkeypatch):
     data = [(i, v, i % 3 if i % 17 else None) for i, v in enumerate(vectors())]
     n = len(data)
