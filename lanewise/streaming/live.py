@@ -9,11 +9,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+#: What the replay stream knows of a bucket's ids: the first payload, and event time of the last row in milliseconds.
+_KNOWN = pa.schema([("request_id", pa.string()), ("payload", pa.string()), ("last", pa.int64())])
+
 
 def events(spark: SparkSession, folder: str) -> DataFrame:
     """The event table as a stream, with event time as a zoned timestamp."""
@@ -45,29 +50,53 @@ def first_of_each(rows: DataFrame, keys: list[str], late: str = "30 days") -> Da
     return rows.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-def replay_status(rows: DataFrame, keep: str = "30 days") -> DataFrame:
+def _state(known: pd.DataFrame) -> bytes:
+    sink = pa.BufferOutputStream()
+    table = pa.Table.from_pandas(known, _KNOWN, preserve_index=False)
+    with pa.ipc.new_stream(sink, _KNOWN) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _judged(known: pd.DataFrame, rows: pd.DataFrame) -> tuple[np.ndarray, pd.DataFrame]:
+    """The status of each of rows (in order) after the ids that are known, and the ids known then."""
+    both = pd.concat([known, rows[known.columns]], ignore_index=True) if len(known) else rows[known.columns].reset_index(drop=True)
+    which = pd.factorize(both["request_id"], use_na_sentinel=False)[0]
+    first = np.unique(which, return_index=True)[1]
+    payload = pd.factorize(both["payload"])[0]  # -1 is null, which is equal to nothing
+    before = payload[first][which]
+    status = np.where(np.arange(len(both)) == first[which], "new", np.where((payload == before) & (payload >= 0), "replay", "conflict"))
+    last = np.full(len(first), np.iinfo(np.int64).min)
+    np.maximum.at(last, which, both["last"].to_numpy())
+    return status[len(known) :], both.iloc[first].assign(last=last)
+
+
+def replay_status(rows: DataFrame, keep: str = "30 days", buckets: int = 1024) -> DataFrame:
     """event_id, request_id, status of rows(event_id, ts, request_id, payload): new, replay or conflict.
 
-    The state of an id is its first payload. It is dropped once event time has passed the watermark
-    after its last row, so an id that comes again later counts as new.
+    The first payload and the last event time of an id are kept. An id is dropped once the watermark
+    has passed its last row, so one that comes again later counts as new. Ids are judged by hash
+    buckets, all rows of a bucket at once; a bucket's state holds its ids, and no id is in two of them.
     """
 
     def judge(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        passed = max(state.getCurrentWatermarkMs(), 0)
+        known = pa.ipc.open_stream(state.get[0]).read_pandas() if state.exists else _KNOWN.empty_table().to_pandas()
+        known = known[known["last"] >= passed]
+        if not state.hasTimedOut:
+            part = pd.concat(list(parts)).sort_values("event_id", kind="stable")
+            part["last"] = part["last"].fillna(passed).astype("int64")
+            status, known = _judged(known, part)
+            yield pd.DataFrame({"event_id": part["event_id"].to_numpy(), "request_id": part["request_id"].to_numpy(), "status": status})
+            known = known[known["last"] >= passed]
+        if len(known):
+            state.update((_state(known),))
+            state.setTimeoutTimestamp(max(passed, int(known["last"].min())) + 86_400_000)
+        elif state.exists:
             state.remove()
-            return
-        known = state.get[0] if state.exists else None
-        for part in [pd.concat(list(parts)).sort_values("event_id")]:
-            out = []
-            for event_id, payload in zip(part["event_id"], part["payload"], strict=True):
-                out.append((event_id, key[0], "new" if known is None else "replay" if payload == known else "conflict"))
-                known = payload if known is None else known
-            yield pd.DataFrame(out, columns=["event_id", "request_id", "status"])
-        state.update((known,))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + 86_400_000)
-
-    grouped = rows.withWatermark("ts", keep).groupBy("request_id")
-    return grouped.applyInPandasWithState(judge, "event_id bigint, request_id string, status string", "payload string", "append", GroupStateTimeout.EventTimeTimeout)
+
+    placed = rows.withWatermark("ts", keep).select("ts", "event_id", "request_id", "payload", F.unix_millis("ts").alias("last"), F.pmod(F.xxhash64("request_id"), F.lit(buckets)).alias("bucket"))
+    return placed.groupBy("bucket").applyInPandasWithState(judge, "event_id bigint, request_id string, status string", "known binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def busy_overlaps(rows: DataFrame) -> DataFrame:
