@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lanewise.functions.text import bind
+
 #: How long pictures of rejected sessions, originals of approved ones, and unfinished sessions stay.
 REJECTED_TTL, APPROVED_TTL, UNFINISHED_TTL = "INTERVAL '72' HOUR", "INTERVAL '30' DAY", "INTERVAL '1' HOUR"
 PICTURE_FOLDERS = ("originals", "cropped", "compressed")
@@ -68,9 +70,13 @@ def thinned(points: DataFrame, most: int = 240) -> DataFrame:
 
 
 def wrong_fields(rows: DataFrame, found: Column, truth: Column) -> DataFrame:
-    """Adds wrong: the names in truth whose value found hasn't, in order; all of them where nothing was found."""
-    names = F.sort_array(F.map_keys(truth))
-    return rows.withColumn("wrong", F.filter(names, lambda k: ~F.coalesce(F.try_element_at(found, k).eqNullSafe(F.element_at(truth, k)), F.lit(False))))
+    """Adds wrong: the names in truth whose value found hasn't, in order; all of them where nothing was found. Both are computed once a row."""
+
+    def differing(x: Column) -> Column:
+        names = F.sort_array(F.map_keys(x["truth"]))
+        return F.filter(names, lambda k: ~F.coalesce(F.try_element_at(x["found"], k).eqNullSafe(F.element_at(x["truth"], k)), F.lit(False)))
+
+    return rows.withColumn("wrong", bind(F.struct(found.alias("found"), truth.alias("truth")), differing))
 
 
 def stage_timings(steps: DataFrame, *by: str) -> DataFrame:

@@ -82,3 +82,11 @@ def test_age_of_a_leap_day(spark):
     rows = spark.createDataFrame([("2008-02-29", "2026-02-28"), ("2008-02-29", "2026-03-01"), ("1990-03-15", "2026-03-15")], "b string, d string")
     got = rows.select(dates.age_on(F.to_date("b"), F.to_date("d"))).collect()
     assert [r[0] for r in got] == [17, 18, 36]
+
+
+def test_failures_parse_each_barcode_once(spark):
+    """A filter on rows would be pushed below the parser and repeat it, and with it every column that the text is derived from."""
+    from lanewise.plans import further
+
+    plan = further.barcode_failures(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if line.lstrip(" :+-").startswith("Filter")]
