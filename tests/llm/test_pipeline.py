@@ -119,3 +119,20 @@ def test_stages_against_plain_versions(spark, tmp_path):
     tokens = Tokenizer.from_file(tokenizer_path())
     got = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in corpus_pipeline.STAGES[-1][1](spark, left, str(tmp_path)).collect()}
     assert got == {i: tokens.encode(t, add_special_tokens=False).ids for i, t in want[-1].items()}
+
+
+def test_near_dedup_does_not_depend_on_how_many_share_a_bucket(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from lanewise.llm import bagminhash
+
+    # all texts share one band and no second one
+    signed = bagminhash._signed
+    monkeypatch.setattr(bagminhash, "_signed", lambda docs: signed(docs).withColumn("bands", F.array(F.lit(77).cast("bigint"), F.xxhash64("node"))))
+    rng = random.Random(8)
+    rows = {i: [f"w{rng.randrange(9999)}" for _ in range(120)] for i in range(12)}
+    rows |= {20 + i: [*rows[i][:118], "x", "y"] for i in range(4)}
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in rows.items()], "doc_id bigint, text string")
+    for most in (1000, 4):
+        monkeypatch.setattr(bagminhash, "DEEP_BUCKET", most)
+        assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == list(range(12))
