@@ -136,3 +136,26 @@ def test_near_dedup_does_not_depend_on_how_many_share_a_bucket(spark, monkeypatc
     for most in (1000, 4):
         monkeypatch.setattr(bagminhash, "DEEP_BUCKET", most)
         assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == list(range(12))
+
+
+def test_near_dedup_meets_by_blocks_only_where_that_is_less_work(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from lanewise.llm import bagminhash
+
+    # half of each text is the same, so that all share a band and about a quarter of them each block of registers
+    rng = random.Random(9)
+    rows = {i: [*(f"b{k}" for k in range(40)), *(f"w{rng.randrange(9999)}" for _ in range(40))] for i in range(60)}
+    rows |= {100 + i: [*rows[i][:-1], "x"] for i in range(4)}
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in rows.items()], "doc_id bigint, text string")
+    signed, less = bagminhash._signed, bagminhash._less_by_blocks
+    monkeypatch.setattr(bagminhash, "DEEP_BUCKET", 4)
+    monkeypatch.setattr(bagminhash, "_signed", lambda docs: signed(docs).withColumn("bands", F.array(F.lit(77).cast("bigint"), F.xxhash64("node"))))
+    ways = [less, lambda blocked, large: large.select("key", "n").limit(0), lambda blocked, large: large.select("key", "n")]
+    for way in ways:
+        monkeypatch.setattr(bagminhash, "_less_by_blocks", way)
+        assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").select("doc_id").collect()) == list(range(60))
+    # a bucket of common texts meets as it is; one whose members have nothing else in common, by blocks
+    blocked = spark.createDataFrame([(k, i, f) for k in (1, 2) for i in range(90) for f in (range(44) if k == 1 else range(1000 * i, 1000 * i + 44))], "bucket bigint, node bigint, key bigint")
+    large = spark.createDataFrame([(1, 90, 89), (2, 90, 89)], "key bigint, n bigint, m bigint")
+    assert [tuple(r) for r in less(blocked, large).collect()] == [(2, 90)]
