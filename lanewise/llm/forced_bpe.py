@@ -13,6 +13,7 @@ Null texts count as empty: no ids, and the empty text decoded. Texts of any leng
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain, islice
@@ -24,12 +25,14 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import released
+from .shared import hold, released
 
 #: A table of known pieces is emptied when its keys and ids take about this many bytes; KEY_BYTES is what a key takes besides its letters.
 CACHE_BYTES, KEY_BYTES = 24 << 20, 150
 #: What a worker may hold of each table from task to task where encoding is all that it does; a bound in bytes as well.
 HOLD_BYTES = 100 << 20
+#: The name by which a worker holds its encoder from task to task.
+ENCODER = "encoder"
 #: Rows are taken in slices of about this many bytes; a longer text is encoded in parts of as many characters, cut at white space.
 SLICE_BYTES = 1 << 19
 #: The normaliser and the splitter that this encoder reproduces; a file with others is refused.
@@ -160,6 +163,8 @@ class ForcedBoundary:
     def __init__(self, path: str):
         import json
 
+        # a task has one core; the library's threads, as many as the machine has cores, would each keep memory of their own in every worker
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         from tokenizers.models import BPE
         from tokenizers.pre_tokenizers import WhitespaceSplit
@@ -309,7 +314,7 @@ class ForcedBoundary:
     def until_end(self, batches: Iterator[pa.RecordBatch], hold: int) -> Iterator[pa.RecordBatch]:
         """The batches of a task, whose tables hold so many bytes each and stay for the next task; with 0 they are small and emptied at the end."""
         self.room = hold
-        yield from released(batches, None if hold else self.forget)
+        yield from released(batches, None if hold else self.forget, ENCODER)
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The UTF-8 text that the library decodes the ids to: the tokens as they stand, joined by blanks."""
@@ -319,16 +324,22 @@ class ForcedBoundary:
 
 
 @lru_cache(maxsize=2)
-def forced_boundary(path: str) -> ForcedBoundary:
+def _encoder(path: str) -> ForcedBoundary:
     return ForcedBoundary(path)
 
 
+def forced_boundary(path: str) -> ForcedBoundary:
+    """The worker's encoder, which it holds until it goes on to other work."""
+    hold(ENCODER, _encoder.cache_clear)
+    return _encoder(path)
+
+
 def encode_column(text: Column | str, path: str) -> Column:
     """ids array<int> of each whole text."""
 
     @F.arrow_udf("array<int>")
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in released(batches, lambda: forced_boundary(path).forget()):
+        for texts in released(batches, lambda: forced_boundary(path).forget(), ENCODER):
             found = [forced_boundary(path).encode(rows) for rows in text_slices(texts)]
             ids = np.concatenate([p[0] for p in found] or [np.zeros(0, np.uint32)]).astype(np.int32)
             sizes = np.concatenate([np.diff(p[1]) for p in found] or [np.zeros(0, np.int64)])

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lanewise.sources.folders import Workspace, shared_root
 
-__all__ = ["Workspace", "shared_root", "open_fs", "all_pairs", "join_small", "attach", "chunked", "whole_runs", "runs", "by_run", "by_runs", "released", "Forest"]
+__all__ = ["Workspace", "shared_root", "open_fs", "all_pairs", "join_small", "attach", "chunked", "whole_runs", "runs", "by_run", "by_runs", "hold", "released", "Forest"]
 #: A table is broadcast only if its counted rows are within this (all such tables are a few longs wide).
 BROADCAST_ROWS = 1_000_000
 #: A key is hot if it holds at least 1 / HOT_SHARE of all rows, so at most HOT_SHARE keys are.
@@ -78,8 +78,22 @@ def _trim() -> Callable[[], object]:
     return lambda: trim(0)
 
 
-def released(batches: Iterator[pa.RecordBatch], forget: Callable[[], None] | None = None) -> Iterator[pa.RecordBatch]:
-    """The batches; at the end of the task's input, calls forget and gives free memory back, as workers outlive tasks beside the executor's heap."""
+#: What this worker holds from task to task, and how each is let go of.
+_held: dict[str, Callable[[], None]] = {}
+
+
+def hold(name: str, let_go: Callable[[], None]) -> None:
+    """Says that this worker holds something from task to task, until a task begins that doesn't need it (see released)."""
+    _held[name] = let_go
+
+
+def released(batches: Iterator[pa.RecordBatch], forget: Callable[[], None] | None = None, needs: str = "") -> Iterator[pa.RecordBatch]:
+    """The batches; at the end of the task's input, calls forget and gives free memory back, as workers outlive tasks beside the executor's heap.
+
+    What tasks before have held goes first, but for what this one needs.
+    """
+    for name in [x for x in _held if x != needs]:
+        _held.pop(name)()
     try:
         yield from batches
     finally:

@@ -106,3 +106,21 @@ def test_other_tokenizers_are_refused():
 
     with pytest.raises(ValueError):
         forced_bpe.ForcedBoundary(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_workers_let_go_of_the_encoder_when_other_work_begins():
+    import os
+
+    from lanewise.llm import forced_bpe, shared
+
+    coder = forced_bpe.forced_boundary(tokenizer_path())
+    assert list(coder.until_end(iter([1, 2]), 0)) == [1, 2]
+    assert forced_bpe.forced_boundary(tokenizer_path()) is coder, "the next task of the kind has it still"
+    assert list(shared.released(iter([3]))) == [3]
+    again = forced_bpe.forced_boundary(tokenizer_path())
+    assert again is not coder
+    assert all((x == y).all() for x, y in zip(again.encode(["some words"]), coder.encode(["some words"]), strict=True))
+    # no thread beside the task's own
+    before = len(os.listdir("/proc/self/task"))
+    again.encode([" ".join(f"word{i}x{i * 7919}" for i in range(20_000))])
+    assert len(os.listdir("/proc/self/task")) == before
