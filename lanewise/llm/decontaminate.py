@@ -99,8 +99,12 @@ def blocks(items: DataFrame) -> Iterator[tuple[list[int | None], list[str]]]:
         yield ids, texts
 
 
-def leaks(text: Column | str, ids: list[int | None], texts: list[str]) -> Column:
-    """array<struct<item_id, containment>> of each whole text: the items of one block that it contains by CONTAINMENT."""
+def leaks(text: Column | str, ids: list[int | None], texts: list[str], alone: bool = False) -> Column:
+    """array<struct<item_id, containment>> of each whole text: the items of one block that it contains by CONTAINMENT.
+
+    With alone the optimizer leaves the call where it stands: in filters over stages that aren't written in between, Spark
+    left it among the expressions that it evaluates itself, and failed.
+    """
     index = build_index(ids, texts)
 
     @F.arrow_udf("array<struct<item_id: bigint, containment: double>>")
@@ -108,7 +112,7 @@ def leaks(text: Column | str, ids: list[int | None], texts: list[str]) -> Column
         for part in released(batches):
             yield pa.array(list(search(index, part)), pa.list_(pa.struct([("item_id", pa.int64()), ("containment", pa.float64())])))
 
-    return contained(text)
+    return (contained.asNondeterministic() if alone else contained)(text)
 
 
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -136,5 +140,5 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
             work = work or Workspace(docs.sparkSession, "clean")
             docs = work.keep(docs, f"block-{k}")
             work.only(f"block-{k}")
-        docs = docs.withColumn(mark, leaks("text", ids, texts)).where(F.size(mark) == 0).drop(mark)
+        docs = docs.withColumn(mark, leaks("text", ids, texts, alone=True)).where(F.size(mark) == 0).drop(mark)
     return docs
